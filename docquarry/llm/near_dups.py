@@ -6,10 +6,11 @@ and only classes go on. A class keeps the k smallest hashes of its set (bottom-k
 1. Inverted lists. A pair of classes that is similar enough shares at least `_overlap` of its retained values, so under
    any fixed order of values it shares one among the first k - overlap + 1. Rare values come first in that order: a value
    of a passage that many documents quote is listed only for documents that hold little else.
-2. Overlaps. Lists of at most SMALL classes give their pairs. Longer lists give pairs with a few hubs a round: each hub is
-   compared with every class of the list outside its own component, then is done. Rounds go on until, in every list, all
-   classes outside its largest component have been hubs. What is left unpaired lies in one component, so no link between
-   different components is lost, and no group emits all its pairs.
+2. Overlaps. Lists of at most SMALL classes give their pairs. A longer list gives the pairs of its first class, the hub,
+   with all others. Classes that long lists tie together form a cluster, and those of a cluster's largest component need
+   no more comparing among themselves; each class outside it is compared with every class of the cluster of a like size,
+   by blocks of sets in numpy, which give at most a link for each class and component. So no link between different
+   components is lost, and no group emits all its pairs.
 3. The bottom k of the union of two sketches estimates their similarity; clearly lower pairs go no further.
 4. The exact Jaccard similarity of the full sets decides. Components grow from confirmed links only.
 """
@@ -29,8 +30,8 @@ K = 64
 SHARE = 32
 #: Lists up to this length give their pairs at once.
 SMALL = 16
-#: Hubs that a longer list gives in each round after the first.
-HUBS = 8
+#: Classes in a block that is compared at once, and shingles that such a block holds at most when they are long.
+BLOCK = 256
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -113,27 +114,86 @@ def _similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, component) for the ends of links (a, b): alternating large-star and small-star steps until nothing changes."""
-    edges, before = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()), None
+    """(rep, component) for the ends of links (a, b) other than the least of each component: alternating large-star and
+    small-star steps until every end points to the least of its component."""
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         after = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        changed = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(edges)
         edges = after
-        if changed == before:
-            return edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
-        before = changed
 
 
-def _labelled(listed: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return listed.withColumn("component", F.col("rep"))
-    return listed.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _labelled(reps: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """reps with a column `name`: the component of rep in found, or rep itself."""
+    return reps.join(found.withColumnRenamed("component", name), "rep", "left").withColumn(name, F.coalesce(name, "rep"))
+
+
+def _compared(table):
+    """Links (a, b) between the hubs and the other members of a block pair: for each hub, one for each other component."""
+    import pyarrow as pa
+
+    hub = table.column("hub").to_numpy()
+    rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
+    sets = table.column("full").combine_chunks()
+    values, sizes = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+    row = np.repeat(np.arange(len(rep)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    number = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]).astype(np.int64)) if len(values) else values
+    # only values on both sides count for intersections
+    of_hub, n = hub[row], int(number[-1]) + 1 if len(number) else 0
+    shared = (np.bincount(number[of_hub], minlength=n) > 0) & (np.bincount(number[~of_hub], minlength=n) > 0)
+    place = np.cumsum(shared) - 1
+    keep = shared[number]
+    left, right = np.flatnonzero(hub), np.flatnonzero(~hub)
+    own = np.zeros(len(rep), np.int64)
+    own[left], own[right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = int(shared.sum())
+    for start in range(0, width, 16384):
+        some = keep & (place[number] >= start) & (place[number] < start + 16384)
+        x, y = (np.zeros((len(side), min(16384, width - start)), np.float32) for side in (left, right))
+        for matrix, which in ((x, some & of_hub), (y, some & ~of_hub)):
+            matrix[own[row[which]], place[number[which]] - start] = 1
+        both += x @ y.T
+    both = both.astype(np.int64)
+    similar = 100 * both >= 75 * (sizes[left][:, None] + sizes[right][None, :] - both)
+    i, j = np.nonzero(similar & (component[left][:, None] != component[right][None, :]))
+    _, first = np.unique(np.stack([i, component[right[j]]]), axis=1, return_index=True)
+    return pa.table({"a": rep[left[i[first]]], "b": rep[right[j[first]]]})
+
+
+def _within_clusters(members: DataFrame) -> DataFrame:
+    """Links between classes outside the largest component of their cluster and any of another component.
+
+    members: cluster, rep, n, component, full. Sets as similar as 0.75 differ in size by a third at most, so a class meets
+    only its own band of sizes and the two beside it.
+    """
+    sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    members = members.join(largest, "cluster").withColumn("outside", F.col("component") != F.col("largest"))
+    members = written(members.withColumn("band", F.floor(F.log("n") / F.lit(np.log(4 / 3).item())).cast("int")).drop("largest"))
+    # so many blocks that none holds more than about BLOCK classes, or as many shingles as BLOCK classes of 4096
+    blocks = lambda of: F.ceil(F.greatest(F.sum(of) / BLOCK, F.sum(F.col("n") * of) / (BLOCK * 4096))).cast("int")
+    counts = written(members.groupBy("cluster", "band").agg(blocks(F.lit(1)).alias("blocks"), blocks(F.col("outside").cast("int")).alias("hub_blocks")))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    spread = F.xxhash64("rep")
+    met = counts.select("cluster", F.col("band").alias("other"), F.col("blocks").alias("other_blocks"), F.col("hub_blocks").alias("other_hubs"))
+    row = members.join(counts, ["cluster", "band"]).withColumn("other", near).join(met, ["cluster", "other"])
+    out = ["cluster", "hub_band", "hub_block", "band_", "block", "hub", "rep", "component", "full"]
+    hubs = row.where("outside and other_blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    hubs = hubs.withColumns({"hub_band": F.col("band"), "hub_block": F.pmod(spread, "hub_blocks").cast("int"), "band_": F.col("other"), "hub": F.lit(True)}).select(*out)
+    others = row.where("other_hubs > 0").withColumn("hub_block", F.explode(F.sequence(F.lit(0), F.col("other_hubs") - 1)))
+    others = others.withColumns({"hub_band": F.col("other"), "block": F.pmod(spread, "blocks").cast("int"), "band_": F.col("band"), "hub": F.lit(False)}).select(*out)
+    return hubs.union(others).groupBy(*out[:5]).applyInArrow(_compared, "a long, b long")
 
 
 def link(documents: DataFrame) -> DataFrame:
@@ -159,24 +219,13 @@ def link(documents: DataFrame) -> DataFrame:
     pairs = pairs.union(long.join(hubs, "value").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))).distinct()
     links = written(_similar(pairs, classes, sets))
     found = written(components(links))
-    done = written(hubs)
-    while True:
-        # lists with classes outside their largest component that have not been hubs
-        labelled = written(_labelled(long, found))
-        largest = labelled.groupBy("value", "component").agg(F.count("*").alias("size")).groupBy("value").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = labelled.join(largest, "value").where("component <> largest").select("value", "rep", "component").join(done.withColumnRenamed("hub", "rep"), ["value", "rep"], "left_anti")
-        slot = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
-        hubs = written(open_.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("rep", "component")).alias("h")).select("value", F.col("h.rep").alias("hub"), F.col("h.component").alias("own")))
-        if hubs.isEmpty():
-            break
-        met = labelled.join(hubs, "value").where("component <> own")
-        pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        more = written(_similar(pairs, classes, sets))
-        done = written(done.union(hubs.select("value", "hub")))
+    if not hubs.isEmpty():
+        clusters = components(long.join(hubs, "value").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        members = _labelled(_labelled(long.select("rep").distinct(), clusters, "cluster"), found, "component").join(classes.select("rep", "n"), "rep").join(sets, "rep")
+        more = written(_within_clusters(members))
         if not more.isEmpty():
-            # what is known already stands in for its links: each class to the least of its component
-            links = written(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more))
-            found = written(components(links))
+            # a class and the least of its component stand in for the links that made it
+            found = written(components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)))
     of_print = prints.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "print").join(of_print, "print", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
