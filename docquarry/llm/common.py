@@ -82,3 +82,16 @@ def pieces(batch, most_bytes: int = 4 << 20):
         end = max(start + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def fitted(rows: DataFrame, fit):
+    """What fit(list of row dicts) returns, made in one task over a bounded sample of rows: its arrays stay off the driver until done."""
+    import pickle
+
+    def run(batches):
+        import pyarrow as pa
+
+        made = fit([row for batch in batches for row in batch.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["made"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "made binary").first()["made"])

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dups, sharding, token_counts, top_k, url_filter, warc
+from . import decontaminate, language, mixing, near_dups, quality, sharding, token_counts, top_k, url_filter, warc
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.link(table(spark, sf_dir, "documents"))
 
@@ -42,4 +50,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_sharding, op4_exact_top_k, op5_mixing, op6_decontamination, op8_minhash_near_dedup, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_url_filters, op3_sharding, op4_exact_top_k, op5_mixing, op6_decontamination, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_warc)}
