@@ -1,0 +1,114 @@
+"""DataFrame operators: what the command line tools of a JSON library do to a file, done to a column."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as c
+from ..functions.tables import JsonTokens
+from ..kernel import patch as kernel_patch
+
+
+def view(df: DataFrame, doc: str, pointer: str = "", type: str | None = None, out: str = "view", **style) -> DataFrame:
+    """df with the printed value that pointer finds; with type, only where the value is of that type."""
+    shown = c.json_print(doc, ptr=pointer, **style)
+    df = df.withColumn(out, shown)
+    return df if type is None else df.where(c.json_is_type(doc, type, pointer))
+
+
+def verify(df: DataFrame, doc: str, schema=None, references=(), out: str = "verdict", **options) -> DataFrame:
+    """df with struct(valid, error): the syntax of each document, and its fit to a schema if there is one."""
+    error = c.json_parse_error(doc, **options)
+    df = df.withColumn("_error", error)
+    good = F.col("_error.code") == "ok"
+    if schema is None:
+        message = F.when(~good, F.col("_error.message"))
+    else:
+        df = df.withColumn("_unit", c.json_schema_validate(doc, schema, references=references, **options))
+        message = F.when(~good, F.col("_error.message")).when(~F.col("_unit.valid"), F.col("_unit.output"))
+        good = good & F.coalesce(F.col("_unit.valid"), F.lit(False))
+    return df.withColumn(out, F.when(F.col(doc).isNotNull(), F.struct(good.alias("valid"), message.alias("error")))).drop("_error", "_unit")
+
+
+def verdict_by(df: DataFrame, verdict: str, *keys: str) -> DataFrame:
+    """For each group: n, n_valid and all_valid."""
+    valid = F.coalesce(F.col(f"{verdict}.valid"), F.lit(False))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(valid.cast("long")).alias("n_valid"), F.bool_and(valid).alias("all_valid"))
+
+
+def members(df: DataFrame, doc: str, pointer: str = "", sorted: bool = False) -> DataFrame:
+    """A row for each member: the columns of df, with place, name and value."""
+    entries = F.posexplode(c.json_entries(doc, pointer, sorted))
+    return df.select("*", entries.alias("place", "_entry")).select(*df.columns, "place", "_entry.name", "_entry.value")
+
+
+def elements(df: DataFrame, doc: str, pointer: str = "") -> DataFrame:
+    """A row for each item of an array: the columns of df, with place and value."""
+    return df.select("*", F.posexplode(c.json_elements(doc, pointer)).alias("place", "value"))
+
+
+def flatten(df: DataFrame, doc: str) -> DataFrame:
+    """A row for the document and each value inside it: the columns of df, with pointer, type and value."""
+    return df.select("*", F.explode(c.json_flat(doc)).alias("_at")).select(*df.columns, "_at.pointer", "_at.type", "_at.value")
+
+
+def tokens(df: DataFrame, doc: str, strict: bool = True) -> DataFrame:
+    """A row for each token: the columns of df, with ordinal, type, row, col, data and error."""
+    return df.lateralJoin(JsonTokens(F.col(doc).outer(), F.lit(strict)))
+
+
+def schema_errors(df: DataFrame, doc: str, schema, references=()) -> DataFrame:
+    """A row for each failure: the columns of df, with instance_location, keyword_location and error."""
+    failures = F.explode(c.json_schema_failures(doc, schema, references))
+    return df.select("*", failures.alias("_f")).select(*df.columns, "_f.*")
+
+
+def differences(left: DataFrame, right: DataFrame, key: list[str], doc: str) -> DataFrame:
+    """key, left, right and status (equal, changed, added, removed) of the documents of two tables."""
+    a = left.select(*key, F.col(doc).alias("left"), c.json_canonical(doc).alias("_a"))
+    b = right.select(*key, F.col(doc).alias("right"), c.json_canonical(doc).alias("_b"))
+    a, b = a.withColumn("_in_a", F.lit(True)), b.withColumn("_in_b", F.lit(True))
+    status = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(F.col("_a") == F.col("_b"), "equal").otherwise("changed")
+    return a.join(b, key, "full_outer").select(*key, "left", "right", status.alias("status"))
+
+
+def fold_patches(documents: DataFrame, patches: DataFrame, key: str, order: str, doc: str = "doc", operations: str = "patch") -> DataFrame:
+    """key, doc and applied: each document after all its patches, in order. Patches of unknown keys are left out.
+
+    The patches of one key are applied in one task, one after the other, as each depends on the one before.
+    """
+    from pyspark.sql import types as T
+
+    steps = patches.select(F.col(key), F.struct(F.col(order).alias("o"), F.col(operations).alias("p")).alias("s")).groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("_steps"))
+    joined = documents.select(key, doc).join(steps, key, "left")
+
+    def folded(text, steps):
+        value = c._parsed(text, {})
+        if value is c.pointer.NOTHING:
+            return None
+        applied = 0
+        for step in steps or ():
+            operations = c._parsed(step["p"], {})
+            if operations is not c.pointer.NOTHING:
+                ok, _, value = kernel_patch.patch(value, operations)
+                applied += ok
+        return {"doc": c.compact(value), "applied": applied}
+
+    kind = T.StructType([T.StructField("doc", T.StringType()), T.StructField("applied", T.IntegerType())])
+    return joined.select(key, c.kernel_udf(folded, kind)(F.col(doc), F.col("_steps")).alias("_out")).select(key, F.col("_out.doc").alias(doc), F.coalesce("_out.applied", F.lit(0)).alias("applied"))
+
+
+def with_parsed(df: DataFrame, doc: str, out: str = "_variant") -> DataFrame:
+    """df with the document as VARIANT, parsed once for all native paths that use it."""
+    return df.withColumn(out, F.try_parse_json(doc))
+
+
+def mean_of_numbers(doc: str, pointer: str = "") -> Column:
+    """The mean of the numbers in an array, other items left out; NULL without any."""
+
+    def mean(value):
+        numbers = [float(x) for x in value if isinstance(x, c.Decimal)] if isinstance(value, list) else []
+        return sum(numbers) / len(numbers) if numbers else c.pointer.NOTHING
+
+    return c._at(doc, pointer, mean, c.DOUBLE)
