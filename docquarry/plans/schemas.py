@@ -145,8 +145,7 @@ def _compile(node: Node, v: Column, above: tuple[int, ...]) -> Column:
         elif name == "additionalProperties":
             if value is not False:
                 raise NotCompilable("additionalProperties other than false")
-            known = list(subs.get("properties", {}))
-            out.append(when("object", F.forall(_keys(v), lambda k, known=known: k.isin(known) if known else F.lit(False))))
+            out.append(when("object", F.size(F.array_except(_keys(v), F.array(*map(F.lit, subs.get("properties", {}))).cast("array<string>"))) == 0))
         elif name == "items":
             out.append(when("array", F.forall(_get(v, "array<variant>"), lambda x: sub(subs["items"], x))))
         elif name == "allOf":
