@@ -81,13 +81,14 @@ class Bounds:
     """
 
     def __init__(self, n: int, k: int, most: int):
+        self.bins = BINS
         self.low, self.high = np.full(n, -most, object), np.full(n, most, object)
         self.by_id, self.going = np.zeros(n, bool), np.ones(n, bool)
         self.need = np.full(n, k, np.int64)
         self.least, self.tied, self.last = np.full(n, _LOW, np.int64), np.full(n, _HIGH, np.int64), np.full(n, _HIGH, np.int64)
 
     def width(self) -> np.ndarray:
-        return np.array([max(1, -(-(h - a + 1) // BINS)) for a, h in zip(self.low, self.high, strict=True)], object)
+        return np.array([max(1, -(-(h - a + 1) // self.bins)) for a, h in zip(self.low, self.high, strict=True)], object)
 
     def narrow(self, crossing: dict) -> None:
         """crossing: query to (place of the range that holds its kth, rows before it, rows in it)."""
@@ -97,7 +98,7 @@ class Bounds:
                 self.going[q] = False
                 continue
             place, before, inside = crossing[q]
-            low = self.low[q] + (place if self.by_id[q] else BINS - 1 - place) * width[q]
+            low = self.low[q] + (place if self.by_id[q] else self.bins - 1 - place) * width[q]
             high = min(low + width[q] - 1, self.high[q])
             self.low[q], self.high[q], self.need[q] = low, high, self.need[q] - before
             if self.by_id[q]:
@@ -118,7 +119,7 @@ def _histogram(shared):
         n, by_id = len(block.ids), bounds.by_id
         low, high, width = bounds.low.astype(np.int64), bounds.high.astype(np.int64), bounds.width().astype(np.uint64)
         floor = np.zeros(n, np.int64)  # the bin of a task's own kth score
-        counts = np.zeros((n, BINS), np.int64)
+        counts = np.zeros((n, bounds.bins), np.int64)
         for chunk, (at, ids, scores) in enumerate(_scored(batches, block)):
             value = np.where(by_id[at], ids[:, None], scores) if by_id.any() else scores
             inside = (value >= low[at]) & (value <= high[at]) & bounds.going[at] & (ids[:, None] != block.ids[at])
