@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,4 +95,20 @@ def fitted(rows: DataFrame, fit):
         made = fit([row for batch in batches for row in batch.to_pylist()])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["made"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "made binary").first()["made"])
+    # Spark may run no task at all over no rows
+    made = rows.repartition(1).mapInArrow(run, "made binary").first()
+    return fit([]) if made is None else pickle.loads(made["made"])
+
+
+def sampled(rows: DataFrame, key: str, size: int, seed: int, count: int | None = None) -> DataFrame:
+    """At most `size` of rows, the first by a hash of key (column `turn`): all of them, if there are no more.
+
+    Rows whose hash is far from the first ones are left out before they are put in order, so that what a task or the
+    last step gets does not grow with the input. count: how many rows there are at most, if that is known more cheaply.
+    """
+    rows = rows.withColumn("turn", F.xxhash64(key, F.lit(seed)))
+    count = rows.count() if count is None else count
+    if count > 2 * size:
+        # twice as many as wanted are expected below this bound
+        rows = rows.where(F.col("turn") < F.lit(-(1 << 63) + (1 << 64) * 2 * size // count))
+    return rows.orderBy("turn", *rows.drop("turn").columns).limit(size)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, pieces, slices
+from .common import fitted, pieces, sampled, slices
 
 #: Rows that training uses at most, and characters of each.
 SAMPLE = 6000
@@ -239,7 +239,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from rows that have a language and text and are not held out: at most `sample` of them."""
     rows = documents.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, TRAIN_BYTES).alias("text"), "lang")
-    rows = rows.where(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id", F.lit(SEED))).orderBy("turn", "doc_id", "lang", "text").limit(sample)
+    rows = sampled(rows.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED, documents.where("lang is not null").count())
 
     def fit_rows(found):
         found.sort(key=lambda row: (row["turn"], row["doc_id"] is None, row["doc_id"] or 0, row["lang"], row["text"]))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, pieces, slices
+from .common import fitted, pieces, sampled, slices
 
 THRESHOLD = 0.3
 #: Labelled rows that training uses at most, and bytes of each.
@@ -162,7 +162,7 @@ def held_out(doc_id) -> F.Column:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from the labelled documents that are not held out: at most `sample` of them, by a hash of doc_id."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = known.where(~held_out(F.col("doc_id"))).withColumn("turn", F.xxhash64("doc_id", F.lit(SEED))).orderBy("turn", "doc_id").limit(sample)
+    known = sampled(known.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     # of rows that repeat an id, the first by text counts; the cut is in characters, and training cuts bytes again
     rows = rows.groupBy("doc_id", "quality", "turn").agg(F.min(F.substring("text", 1, TRAIN_BYTES)).alias("text"))
