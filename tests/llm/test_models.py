@@ -156,5 +156,5 @@ def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "aa")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.report(docs).collect()} == {"und"}
     assert language.report(docs.where("false")).collect() == []
-    one = spark.createDataFrame([(2, "abc", "aa"), (3, "xyz", "aa")], "doc_id long, text string, lang string")
+    one = spark.createDataFrame([(7, "abc", "aa"), (8, "xyz", "aa")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.report(one).collect()} == {"aa"}
