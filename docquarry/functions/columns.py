@@ -352,6 +352,13 @@ def pointer_escape(token) -> Column:
     return F.replace(F.replace(_column(token), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
+def pointer_from_tokens(tokens) -> Column | str:
+    """The pointer of unescaped tokens: text for a list, a native column for a column of arrays."""
+    if isinstance(tokens, (list, tuple)):
+        return pointer.pointer_text(tokens)
+    return F.concat_ws("", F.transform(_column(tokens), lambda t: F.concat(F.lit("/"), pointer_escape(t))))
+
+
 def pointer_unescape(token) -> Column:
     return F.replace(F.replace(_column(token), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
 
@@ -490,7 +497,7 @@ def _schema(text: str, references: tuple) -> JsonSchema:
 class _Loaded:
     """A schema that travels as text and is loaded once in each worker."""
 
-    def __init__(self, schema, references, resolver):
+    def __init__(self, schema, references, resolver, keywords=None):
         as_text = lambda x: x if isinstance(x, str) else compact(x)
         references = references if isinstance(references, dict) else {parse(as_text(r)).latest()["$id"]: r for r in references}
         fetched: dict[str, str] = {}
@@ -503,15 +510,21 @@ class _Loaded:
         self.text, known = as_text(schema), {k: as_text(v) for k, v in references.items()}
         # loading here shows what is wrong before any job runs, and asks the resolver for all it is needed for
         JsonSchema(self.text, known, keep if resolver else None)
-        self.references = tuple((known | fetched).items())
+        self.references, self.keywords, self.own = tuple((known | fetched).items()), keywords, None
 
     def get(self) -> JsonSchema:
-        return _schema(self.text, self.references)
+        if not self.keywords:
+            return _schema(self.text, self.references)
+        if self.own is None:
+            self.own = JsonSchema(self.text, dict(self.references), keywords=self.keywords)
+        return self.own
+
 
+def json_schema_valid(doc, schema, references=(), resolver=None, keywords=None, **options) -> Column:
+    """Whether the document fits a JSON Schema (2020-12); NULL if it is no document. InvalidSchema is raised at once.
 
-def json_schema_valid(doc, schema, references=(), resolver=None, **options) -> Column:
-    """Whether the document fits a JSON Schema (2020-12); NULL if it is no document. InvalidSchema is raised at once."""
-    loaded = _Loaded(schema, references, resolver)
+    keywords adds assertions of one's own: a name to a function of instance and keyword value that returns an error or None."""
+    loaded = _Loaded(schema, references, resolver, keywords)
 
     def fits(value):
         return loaded.get().is_valid(value)
@@ -519,9 +532,9 @@ def json_schema_valid(doc, schema, references=(), resolver=None, **options) -> C
     return _on_value(doc, fits, BOOLEAN, **options)
 
 
-def json_schema_validate(doc, schema, full: bool = False, references=(), resolver=None, **options) -> Column:
+def json_schema_validate(doc, schema, full: bool = False, references=(), resolver=None, keywords=None, **options) -> Column:
     """struct(valid, output): the verdict and the output unit, up to the first failure or in full."""
-    loaded = _Loaded(schema, references, resolver)
+    loaded = _Loaded(schema, references, resolver, keywords)
 
     def validated(value):
         unit = loaded.get().output(value, full)
@@ -530,9 +543,9 @@ def json_schema_validate(doc, schema, full: bool = False, references=(), resolve
     return _on_value(doc, validated, VALIDATED, **options)
 
 
-def json_schema_failures(doc, schema, references=(), resolver=None, **options) -> Column:
+def json_schema_failures(doc, schema, references=(), resolver=None, keywords=None, **options) -> Column:
     """array(struct(instance_location, keyword_location, error)) of all failures; empty for a valid document."""
-    loaded = _Loaded(schema, references, resolver)
+    loaded = _Loaded(schema, references, resolver, keywords)
 
     def failures(value):
         return [{"instance_location": at, "keyword_location": keyword, "error": error} for at, keyword, error in loaded.get().errors(value)]

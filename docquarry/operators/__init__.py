@@ -37,6 +37,11 @@ def verdict_by(df: DataFrame, verdict: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(valid.cast("long")).alias("n_valid"), F.bool_and(valid).alias("all_valid"))
 
 
+def error_counts(df: DataFrame, doc: str, *keys: str, **options) -> DataFrame:
+    """keys, code and n: how many documents have each parse error, or none (ok)."""
+    return df.where(F.col(doc).isNotNull()).groupBy(*keys, c.json_parse_error(doc, **options)["code"].alias("code")).agg(F.count("*").alias("n"))
+
+
 def members(df: DataFrame, doc: str, pointer: str = "", sorted: bool = False) -> DataFrame:
     """A row for each member: the columns of df, with place, name and value."""
     entries = F.posexplode(c.json_entries(doc, pointer, sorted))

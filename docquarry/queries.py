@@ -92,6 +92,11 @@ def pointer_tokens(spark, d):
     return _table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), c.pointer_escape(raw).alias("token"), c.pointer_unescape(c.pointer_escape(raw)).alias("back"))
 
 
+@query(f"select key, '/a~1b/~0' || key as pointer from {_O}")
+def pointer_of_tokens(spark, d):
+    return orders(spark, d).select("key", c.pointer_from_tokens(F.array(F.lit("a/b"), F.concat(F.lit("~"), "key"))).alias("pointer"))
+
+
 @query(f"select key, cust, key as item, status from {_O}")
 def pointer_native(spark, d):
     v = ops.with_parsed(orders(spark, d), "doc")
@@ -215,6 +220,12 @@ def parse_error_code(spark, d):
     return _table(spark, d, "events").withColumn("e", c.json_parse_error(text)).select("event_id", "e.code", "e.row", "e.col")
 
 
+@query("select event_type, case when event_id % 4 = 0 then 'unterminated_object' else 'ok' end as code, count(*) as n from events group by all")
+def parse_error_counts(spark, d):
+    t = _table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 4 == 0, F.lit("{")).otherwise(F.col("props")).alias("doc"))
+    return ops.error_counts(t, "doc", "event_type")
+
+
 @query("select event_id, case when event_id % 2 = 0 then 'Ok.' else 'Misplaced '']'' at line 1, column 3' end as message from events")
 def parse_error_message(spark, d):
     text = F.when(F.col("event_id") % 2 == 0, F.lit("[1]")).otherwise(F.lit("[1,]"))
@@ -424,6 +435,17 @@ SCHEMAS = {
 for _name, (_schema, _predicate) in SCHEMAS.items():
     query(f"select key, ({_predicate}) as valid from {_C}", f"schema_{_name}")(lambda spark, d, s=_schema: customers(spark, d).select("key", c.json_schema_valid("doc", s).alias("valid")))
 
+
+
+def _even(value, wanted):
+    return None if not wanted or not isinstance(value, c.Decimal) or value % 2 == 0 else "Number is odd."
+
+
+@query(f"select key, nation % 2 = 0 as valid from {_C}")
+def schema_own_keyword(spark, d):
+    return customers(spark, d).select("key", c.json_schema_valid("doc", '{"properties":{"nation":{"even":true}}}', keywords={"even": _even}).alias("valid"))
+
+
 _FAILING = '{"required":["key"],"properties":{"nation":{"maximum":10},"segment":{"const":"BUILDING"}}}'
 
 
