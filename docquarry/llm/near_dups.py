@@ -226,6 +226,8 @@ def link(documents: DataFrame) -> DataFrame:
         if not more.isEmpty():
             # a class and the least of its component stand in for the links that made it
             found = written(components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)))
+    for table in (classes, listed, sets, links):  # nothing below reads these
+        dropped(table)
     of_print = prints.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "print").join(of_print, "print", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
