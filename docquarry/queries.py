@@ -286,6 +286,13 @@ def number_canonical(spark, d):
     return t.select("key", num(F.col("key"), ".000").alias("plain"), num(F.col("cust"), "E+3").alias("scaled"), num("0.", F.lpad((F.col("key") % 997).cast("string"), 3, "0"), "00").alias("fraction"))
 
 
+@query(f"select key, key::varchar as plain, (cust * 1000)::varchar as scaled, case when key % 997 = 0 then '0' else '0.' || rtrim(lpad((key % 997)::varchar, 3, '0'), '0') end as fraction from {_O}")
+def number_canonical_all(spark, d):
+    """What number_canonical does, over all orders: those with zeros to keep in an integer or to strip from a fraction too."""
+    num = lambda *parts: c.json_canonical(F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]))
+    return orders(spark, d).select("key", num(F.col("key"), ".000").alias("plain"), num(F.col("cust"), "E+3").alias("scaled"), num("0.", F.lpad((F.col("key") % 997).cast("string"), 3, "0"), "00").alias("fraction"))
+
+
 @query("select doc_id, substr(to_json(text)::varchar, 2, length(to_json(text)::varchar) - 2) as escaped from documents")
 def escape_text(spark, d):
     return _table(spark, d, "documents").select("doc_id", c.json_escape("text").alias("escaped"))

@@ -31,3 +31,10 @@ def test_against_sql(spark, small, tables, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_canonical_numbers_of_all_orders(spark, small):
+    """The orders that number_canonical leaves out come too: zeros of an integer stay, those of a fraction go."""
+    rows = {r["key"]: r for r in QUERIES["number_canonical_all"](spark, small).collect()}
+    assert set(rows) == {r[0] for r in spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey").collect()}
+    assert rows[10]["plain"] == "10" and rows[10]["fraction"] == "0.01" and rows[120]["fraction"] == "0.12" and rows[997]["fraction"] == "0"
