@@ -234,8 +234,7 @@ def parse_error_message(spark, d):
 
 @query("select event_id, 5::bigint as n, 4 as last_col, 'NUMBER' as kind from events where json_extract(props, '/k')::bigint >= 0")
 def token_rows(spark, d):
-    t = _table(spark, d, "events").select("event_id", F.lit('{"k": 1}').alias("doc"))
-    rows = ops.tokens(t, "doc")
+    rows = ops.tokens(_table(spark, d, "events").select("event_id", "props"), "props")
     return rows.groupBy("event_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("type") == "COLON", F.col("col"))).alias("last_col"), F.max(F.when(F.col("type") == "NUMBER", F.col("type"))).alias("kind"))
 
 

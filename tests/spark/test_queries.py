@@ -38,3 +38,10 @@ def test_canonical_numbers_of_all_orders(spark, small):
     rows = {r["key"]: r for r in QUERIES["number_canonical_all"](spark, small).collect()}
     assert set(rows) == {r[0] for r in spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey").collect()}
     assert rows[10]["plain"] == "10" and rows[10]["fraction"] == "0.01" and rows[120]["fraction"] == "0.12" and rows[997]["fraction"] == "0"
+
+
+def test_tokens_are_those_of_each_text(spark, tmp_path):
+    props = [(1, '{"k": 1}'), (2, '{"k" : [10, 20]}'), (3, '{"a": true}')]
+    spark.createDataFrame(props, "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (r["n"], r["last_col"], r["kind"]) for r in QUERIES["token_rows"](spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 4, "NUMBER"), 2: (9, 5, "NUMBER"), 3: (5, 4, None)}
