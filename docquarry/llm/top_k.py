@@ -181,12 +181,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     vectors and queries have vec_id long and embedding array of numbers. A row whose vec_id is the query's is no candidate
     for it. Null vectors, and those with null or non-finite components, take no part, nor do rows without vec_id. Vectors
     of different lengths have no score. Repeated rows are candidates each; of queries that repeat a vec_id, the least
-    vector counts. Scores beyond a long are held at its ends. Without queries or candidates, the result is empty.
+    vector that takes part counts. Scores beyond a long are held at its ends. Without queries or candidates, the result is empty.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
-    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # an unfit copy of a query is no least vector
+    queries = queries.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     most, path = _largest(vectors), scratch(spark)
     blocks = queries.count() // query_block + 1
     for number in range(blocks):

@@ -45,6 +45,12 @@ def test_large_components_and_few_candidates(spark):
     check(spark, vectors, vectors)
 
 
+def test_unfit_copies_of_a_query(spark):
+    vectors = [(i, [i / 10, 1.0]) for i in range(5)]
+    unfit = [(0, [None, 1.0]), (1, [-math.inf, 0.0]), (2, [math.nan, 0.0]), (3, None)]
+    check(spark, vectors + unfit, vectors + unfit)
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], KIND)
     some = spark.createDataFrame([(1, [1.0])], KIND)
