@@ -6,8 +6,8 @@ averaged over it as well, so that what fills a text counts besides what occurs i
 probability. Long texts go through in pieces whose pooled values are combined, so memory has a bound and no byte is left
 out.
 
-Training reads at most SAMPLE labelled rows, chosen by a hash of their ids (all labelled rows, if there are fewer), with
-the first TRAIN_BYTES of each cut into pieces; it follows the gradient of the cross-entropy by Adam, from a fixed seed.
+Training reads at most SAMPLE labelled rows, chosen by a hash of their ids (all labelled rows, if there are fewer), and draws
+stretches from anywhere in their whole texts, up to the whole of them; it follows the gradient of the cross-entropy by Adam, from a fixed seed.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fitted, pieces, sampled, slices
 
 THRESHOLD = 0.3
-#: Labelled rows that training uses at most, and bytes of each.
+#: Labelled rows that training uses at most, and bytes up to which stretches are drawn at least; of a longer text, up to all of it.
 SAMPLE = 4000
 TRAIN_BYTES = 2048
 
@@ -108,22 +108,37 @@ class Network:
         for b, t in zip(base, texts, strict=True):
             padded[b : b + len(t)] = t
         starts = np.repeat(base, n) + STRIDE * (np.arange(int(n.sum())) - np.repeat(begin, n))
-        x, y = self.look(padded, starts)
-        most, total = np.maximum.reduceat(y, begin, axis=0), np.add.reduceat(y, begin, axis=0)
+        owner = np.repeat(np.arange(len(n)), n)
+        parts = [slice(lo, lo + AT_ONCE) for lo in range(0, len(starts), AT_ONCE)]
+        # the greatest output so far, and how many chunks have it
+        most, count, total = np.full((len(n), FILTERS), -1, self.filters.dtype), np.zeros((len(n), FILTERS), np.float32), np.zeros((len(n), FILTERS), self.filters.dtype)
+        for part in parts:
+            x, y = self.look(padded, starts[part])
+            at = owner[part] - owner[part][0]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            own = owner[part][first]
+            top = np.maximum.reduceat(y, first, axis=0)
+            ties = np.add.reduceat(y == top[at], first, axis=0, dtype=np.float32)
+            count[own] = np.where(top > most[own], ties, count[own] + ties * (top == most[own]))
+            most[own] = np.maximum(most[own], top)
+            total[own] += np.add.reduceat(y, first, axis=0)
         pooled, h, p = self.combined(most, total, n)
         dz = ((p - labels) * weights / weights.sum()).astype(np.float32)
         dh = dz[:, None] * self.out * (h > 0)
         dpooled = dh @ self.hidden.T
-        dy = np.repeat(dpooled[:, FILTERS : 2 * FILTERS] / n[:, None].astype(np.float32), n, axis=0)
-        # the gradient of the maximum goes to the first chunk that has it
-        is_most = y == np.repeat(most, n, axis=0)
-        count = np.add.reduceat(is_most, begin, axis=0, dtype=np.float32)
-        dy += is_most * np.repeat(dpooled[:, :FILTERS] / count, n, axis=0)
-        dy *= y > 0
-        dx = (dy @ self.filters.T).reshape(-1, EMBEDDING)
-        codes = padded[starts[:, None] + np.arange(WIDTH)].ravel()
-        dembedding = np.stack([np.bincount(codes, dx[:, e], 257) for e in range(EMBEDDING)], axis=1).astype(np.float32)
-        return [dembedding, x.T @ dy, dy.sum(axis=0), pooled.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(keepdims=True)]
+        # the gradient of the maximum is shared by the chunks that have it
+        dmost, dmean = dpooled[:, :FILTERS] / count, dpooled[:, FILTERS : 2 * FILTERS] / n[:, None].astype(np.float32)
+        dembedding, dfilters, dbias = np.zeros((257, EMBEDDING), np.float32), 0, 0
+        for part in parts:
+            if len(parts) > 1:
+                x, y = self.look(padded, starts[part])
+            at = owner[part]
+            dy = (dmean[at] + (y == most[at]) * dmost[at]) * (y > 0)
+            dx = (dy @ self.filters.T).reshape(-1, EMBEDDING)
+            codes = padded[starts[part][:, None] + np.arange(WIDTH)].ravel()
+            dembedding += np.stack([np.bincount(codes, dx[:, e], 257) for e in range(EMBEDDING)], axis=1).astype(np.float32)
+            dfilters, dbias = dfilters + x.T @ dy, dbias + dy.sum(axis=0)
+        return [dembedding, dfilters, dbias, pooled.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(keepdims=True)]
 
 
 def trained(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Network:
@@ -144,7 +159,7 @@ def trained(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int
         # any stretch of a text must do
         batch = []
         for i in chosen:
-            length = min(len(data[i]), int(SHORTEST * (TRAIN_BYTES / SHORTEST) ** r.random()))
+            length = min(len(data[i]), int(SHORTEST * (max(TRAIN_BYTES, len(data[i])) / SHORTEST) ** r.random()))
             at = int(r.integers(0, max(1, len(data[i]) - length + 1)))
             batch.append(data[i][at : at + length])
         rate = RATE * min(1.0, step / 50) * (1 - 0.95 * step / steps)
@@ -164,8 +179,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Networ
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = sampled(known.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    # of rows that repeat an id, the first by text counts; the cut is in characters, and training cuts bytes again
-    rows = rows.groupBy("doc_id", "quality", "turn").agg(F.min(F.substring("text", 1, TRAIN_BYTES)).alias("text"))
+    # of rows that repeat an id, the first by text counts
+    rows = rows.groupBy("doc_id", "quality", "turn").agg(F.min("text").alias("text"))
 
     def fit_rows(found):
         found.sort(key=lambda row: (row["turn"], row["doc_id"]))

@@ -61,6 +61,28 @@ def test_quality_scores_do_not_depend_on_the_batch(monkeypatch):
     assert np.allclose(whole, single, atol=1e-5) and np.allclose(whole, parts, atol=1e-5)
 
 
+def test_quality_gradients_do_not_depend_on_the_pieces(monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [r.integers(97, 100, n).astype(np.uint8) for n in (3, 700, 40, 5000)]
+    texts.append(np.tile(texts[2], 30))  # the greatest output in many pieces
+    network, y, w = quality.Network(3), np.array([0, 1, 0, 1, 1], np.float32), np.ones(5, np.float32)
+    whole = network.gradients(texts, y, w)
+    monkeypatch.setattr(quality, "AT_ONCE", 64)
+    for a, b in zip(whole, network.gradients(texts, y, w), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-5)
+
+
+def test_quality_learns_from_whole_texts(spark):
+    """Texts that differ only long after their start."""
+    r = random.Random(8)
+    long = lambda kind, n: " ".join(kind(r) for _ in range(400))[:n]
+    rows = [(i, long(good, 2500) + (long(good, 5000) if i % 2 else long(bad, 5000)), i % 2) for i in range(240)]
+    docs = spark.createDataFrame([row[:2] for row in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    held = [x for x in quality.report(docs, labels).collect() if x["held_out"]]
+    assert len(held) > 30 and np.mean([x["predicted"] == x["doc_id"] % 2 for x in held]) > 0.9
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     r = random.Random(4)
