@@ -4,8 +4,8 @@ A text is cut into windows of WINDOW bytes. In each, one recurrent layer reads t
 states together label every position with the probability of each language. The probabilities of all positions of a text
 are averaged: the most probable language is the prediction, and its average the score.
 
-Training reads at most SAMPLE rows with a language, chosen by a hash of their ids, and the first TRAIN_BYTES characters of
-each; languages that the sample lacks are not learned.
+Training reads at most SAMPLE rows with a language, chosen by a hash of their ids, and draws windows from anywhere in their
+whole texts; languages that the sample lacks are not learned.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import types as T
 
 from .common import fitted, pieces, sampled, slices
 
-#: Rows that training uses at most, and characters of each.
+#: Rows that training uses at most.
 SAMPLE = 6000
-TRAIN_BYTES = 1024
 
 WINDOW = 64
 EMBEDDING, STATE = 8, 8
@@ -238,7 +237,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from rows that have a language and text and are not held out: at most `sample` of them."""
-    rows = documents.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, TRAIN_BYTES).alias("text"), "lang")
+    rows = documents.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     rows = sampled(rows.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED, documents.where("lang is not null").count())
 
     def fit_rows(found):

@@ -180,3 +180,14 @@ def test_language_without_anything_to_learn(spark):
     assert language.report(docs.where("false")).collect() == []
     one = spark.createDataFrame([(7, "abc", "aa"), (8, "xyz", "aa")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.report(one).collect()} == {"aa"}
+
+
+def test_language_learns_from_whole_texts(spark):
+    """Texts that all open with the same long heading."""
+    r = random.Random(9)
+    heading = "# " * 600
+    rows = [(i, heading + " ".join(foreign(r, lang) for _ in range(20)), lang) for i in range(200) for lang in [["aa", "bb", "cc"][i % 3]]]
+    more = [(1000 + i, foreign(r, lang), lang) for i in range(60) for lang in [["aa", "bb", "cc"][i % 3]]]
+    network = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.labelled(spark.createDataFrame(more, "doc_id long, text string, lang string"), network).collect()
+    assert np.mean([x["lang_pred"] == x["row"]["lang"] for x in got]) > 0.9
