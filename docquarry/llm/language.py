@@ -238,7 +238,7 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from rows that have a language and text and are not held out: at most `sample` of them."""
     rows = documents.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = sampled(rows.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED, documents.where("lang is not null").count())
+    rows = sampled(rows.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED)
 
     def fit_rows(found):
         found.sort(key=lambda row: (row["turn"], row["doc_id"] is None, row["doc_id"] or 0, row["lang"], row["text"]))

@@ -191,3 +191,11 @@ def test_language_learns_from_whole_texts(spark):
     network = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = language.labelled(spark.createDataFrame(more, "doc_id long, text string, lang string"), network).collect()
     assert np.mean([x["lang_pred"] == x["row"]["lang"] for x in got]) > 0.9
+
+
+def test_language_sample_counts_rows_with_text(spark):
+    """Rows without text do not thin out the sample of those with it: languages of few rows are learned."""
+    rows = spark.range(60).selectExpr("id as doc_id", "repeat('ab cd ', 20) as text", "concat('l', id) as lang")
+    empty = spark.range(1000, 60_000).selectExpr("id as doc_id", "cast(null as string) as text", "'l0' as lang")
+    with_text = language.fit(rows, sample=60).languages
+    assert len(with_text) > 30 and language.fit(rows.union(empty), sample=60).languages == with_text
