@@ -37,16 +37,16 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of benchmark items (item_id, text), ready to be looked up."""
+    """The windows of benchmark items (item_id, text), ready to be looked up; those of a null item_id name no item."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.items: dict[bytes, set] = defaultdict(set)
         for item, text in items:
             own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
             length = min(window, len(own))
             for i in range(len(own) - length + 1) if length else ():
-                self.items[own[i : i + length].tobytes()].add(item)
+                self.items[own[i : i + length].tobytes()].update(() if item is None else (item,))
         self.items = dict(self.items)
         by_length = defaultdict(list)
         for key in self.items:
@@ -110,18 +110,18 @@ def _scanner(windows):
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // block_bytes) + 1
     for part in range(parts):
-        yield [(item, bytes(text)) for item, text in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("item_id", F.encode("text", "utf-8")).collect()]
+        yield [(item, bytes(text)) for item, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", F.encode("text", "utf-8")).collect()]
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents as struct `row`, with n_words, spans (first and one past the last word of each hit run, flat) and items.
 
-    A null text has no words. Benchmark rows without text, words or item_id find nothing. Columns of documents may have
-    any names, for they stay inside `row`. An empty benchmark hits nothing.
+    A null text has no words. Benchmark rows without text or words find nothing; those without item_id hit words as others
+    do, but are not among the items. Columns of documents may have any names, for they stay inside `row`. An empty benchmark hits nothing.
     """
     spark = documents.sparkSession
     out = documents.select(F.struct("*").alias("_row"), F.col(text).alias("_text")).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.expr("cast(array() as array<bigint>)"), "_items": F.expr("cast(array() as array<bigint>)")})

@@ -78,3 +78,13 @@ def test_cleaned(spark, documents):
     assert sorted(got) == [1, 3, 4]
     assert got[1]["text"] == "Before, ; after. " + long and got[1]["n_chars"] == len(got[1]["text"]) and got[3]["text"] == long and got[4]["text"] is None
     assert decontaminate.cleaned(documents, b).columns == documents.columns
+
+
+def test_benchmark_rows_without_id_hit_words(spark):
+    passage = sentence(random.Random(12), 20)
+    docs = spark.createDataFrame([(1, passage, len(passage)), (2, "before", 6)], "doc_id long, text string, n_chars int")
+    benchmark = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(docs, benchmark).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got == {1: (20, 0, empty, True), 2: (0, 0, empty, False)}
+    assert [r["doc_id"] for r in decontaminate.cleaned(docs, benchmark).collect()] == [2]
