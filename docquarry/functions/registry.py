@@ -67,6 +67,19 @@ def _unescape(text):
         return None
 
 
+def _unique(value, name):
+    found = [v for k, v in value if k == name] if isinstance(value, Members) else []
+    return found[0] if len(found) == 1 else pointer.NOTHING
+
+
+def _flat(value):
+    return [{"pointer": pointer.pointer_text(at), "type": model.type_name(x), "value": c.compact(x)} for at, x in pointer.walk(value)]
+
+
+def _failures(value, schema):
+    return [{"instance_location": at, "keyword_location": keyword, "error": error} for at, keyword, error in c._schema(schema, ()).errors(value)]
+
+
 #: SQL name to (function of plain values, result type). Pointers, names and schemas are arguments here.
 SCALARS = {
     "json_valid": (lambda d: _strict(d) is not pointer.NOTHING, c.BOOLEAN),
@@ -74,6 +87,7 @@ SCALARS = {
     "json_compact": (lambda d: _or_null(_strict(d), c.compact), c.STRING),
     "json_relaxed": (lambda d: _or_null(c._parsed(d, {"strict": False}), c.compact), c.STRING),
     "json_get": (lambda d, p: _or_null(_found(d, p), c.compact), c.STRING),
+    "json_get_unique": (lambda d, n: _or_null(_strict(d), lambda v: pointer.NOTHING if (x := _unique(v, n)) is pointer.NOTHING else c.compact(x)), c.STRING),
     "json_type": (lambda d, p: _or_null(_found(d, p), model.type_name), c.STRING),
     "json_is_type": (lambda d, t: _or_null(_strict(d), lambda v: model.type_name(v) == t), c.BOOLEAN),
     "json_size": (lambda d, p: _or_null(_found(d, p), lambda v: len(v) if isinstance(v, list) else pointer.NOTHING), c.INTEGER),
@@ -81,6 +95,7 @@ SCALARS = {
     "json_keys_array": (lambda d: _or_null(_strict(d), lambda v: [n for n, _ in v] if isinstance(v, Members) else pointer.NOTHING), c.STRINGS),
     "json_entries": (lambda d: _or_null(_strict(d), lambda v: [{"name": n, "value": c.compact(x)} for n, x in v] if isinstance(v, Members) else pointer.NOTHING), c.ENTRIES),
     "json_elements": (lambda d: _or_null(_strict(d), lambda v: [c.compact(x) for x in v] if _is_array(v) else pointer.NOTHING), c.STRINGS),
+    "json_flat": (lambda d: _or_null(_strict(d), _flat), c.PATHS),
     "json_as_string": (lambda d, p: _or_null(_found(d, p), lambda v: v if isinstance(v, str) else pointer.NOTHING), c.STRING),
     "json_as_double": (lambda d, p: _or_null(_found(d, p), lambda v: float(v) if model.type_name(v) == "number" else pointer.NOTHING), c.DOUBLE),
     "json_as_boolean": (lambda d, p: _or_null(_found(d, p), lambda v: v if isinstance(v, bool) else pointer.NOTHING), c.BOOLEAN),
@@ -90,6 +105,10 @@ SCALARS = {
     "json_compare": (_two(model.compare), c.INTEGER),
     "json_escape": (model.escape, c.STRING),
     "json_unescape": (_unescape, c.STRING),
+    "pointer_escape": (lambda t: t.replace("~", "~0").replace("/", "~1"), c.STRING),
+    "pointer_unescape": (lambda t: t.replace("~1", "/").replace("~0", "~"), c.STRING),
+    "pointer_from_tokens": (lambda tokens: pointer.pointer_text([t for t in tokens if t is not None]), c.STRING),
+    "json_default": (lambda n: c.compact(model.default_of(n)), c.STRING),
     "json_add": (_two(lambda x, pair: _set(x, pair[0], pair[1], True) if _is_array(pair) and len(pair) == 2 and isinstance(pair[0], str) else pointer.NOTHING), c.STRING),
     "json_append": (_two(lambda x, item: c.compact([*x, item]) if _is_array(x) else pointer.NOTHING), c.STRING),
     "json_remove_key": (lambda d, n: _or_null(_strict(d), lambda v: c.compact(Members(m for m in v if m[0] != n)) if isinstance(v, Members) else pointer.NOTHING), c.STRING),
@@ -99,11 +118,12 @@ SCALARS = {
     "json_patch": (_patch, c.PATCHED),
     "json_schema_valid": (lambda d, s: _or_null(_strict(d), lambda v: c._schema(s, ()).is_valid(v)), c.BOOLEAN),
     "json_schema_validate": (lambda d, s: _or_null(_strict(d), lambda v: {"valid": (u := c._schema(s, ()).output(v))[0][1], "output": c.compact(u)}), c.VALIDATED),
+    "json_schema_failures": (lambda d, s: _or_null(_strict(d), lambda v: _failures(v, s)), c.FAILURES),
 }
 
 
 def register_all(spark: SparkSession) -> None:
-    """Makes every function known to spark.sql under its name."""
+    """Makes every function known to spark.sql under its name, but json_from, which takes any type, and those of entries: they are native columns and have no SQL form."""
     for name, (function, returns) in SCALARS.items():
         spark.udf.register(name, c.kernel_udf(function, returns))
     error = c.kernel_udf(_error, c.ERROR)

@@ -86,6 +86,20 @@ def test_sql_functions(spark):
     assert spark.sql("select error from json_schema_errors('1', '{\"type\":\"null\"}')").first()[0] == "Value is not of type null."
 
 
+def test_every_function_has_a_sql_form(spark):
+    from docquarry import functions
+
+    register_all(spark)
+    names = {n for n in functions.__all__ if n.startswith(("json_", "pointer_"))} - {"json_from"}
+    assert {n for n in names if not spark.catalog.functionExists(n)} == set()
+    one = lambda sql: spark.sql(f"select {sql}").first()[0]
+    assert one("json_get_unique('{\"a\":[1],\"b\":2,\"b\":3}', 'a')") == "[1]"
+    assert one("json_get_unique('{\"b\":2,\"b\":3}', 'b')") is None and one("json_get_unique('{}', 'a')") is None and one("json_get_unique('[', 'a')") is None
+    assert one("pointer_escape('a/~')") == "a~1~0" and one("pointer_unescape('a~1~0')") == "a/~" and one("pointer_from_tokens(array('a/b', '~'))") == "/a~1b/~0"
+    assert one("json_default('array')") == "[]" and [r["pointer"] for r in one("json_flat('[1]')")] == ["", "/0"]
+    assert len(one("json_schema_failures('1', '{\"type\":\"null\"}')")) == 1
+
+
 def test_operators(docs):
     rows = ops.verify(docs, "doc", '{"type":"object"}').orderBy("id").collect()
     assert [r["verdict"] and r["verdict"]["valid"] for r in rows] == [True, True, False, None, False, False]
