@@ -21,11 +21,11 @@ def _url_filters() -> str:
 with rest as (
     select page_id, case when position('://' in coalesce(url, '')) > 0 then substr(url, position('://' in url) + 3) else '' end as r from pages
 ), parts as (
-    select page_id, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest
+    select page_id, regexp_matches(r, '^[^?#]*\\?') as has_query, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest
 ), canonical as (
     select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') as url from parts
 ), listed as (
-    select distinct url from canonical where list_has_any(string_split(host, '.'), [{sites}])
+    select distinct url from canonical where has_query and list_has_any(string_split(host, '.'), [{sites}])
 )
 select page_id, host, path, {rule} as rule,
     coalesce({verdict}, case when host <> '' and url in (select url from listed) then 'block' else 'allow' end) as verdict

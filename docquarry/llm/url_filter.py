@@ -1,10 +1,9 @@
 """URL filters: host and path rules, then a blocked Bloom filter of listed URLs before an exact join, in DataFrame
 operations only.
 
-Listed URLs are brought to a canonical form, and each sets BITS bits in one 512-bit block. A page's canonical URL can be
-listed only if its bits are set; only such pages go on to the exact hash join with the list, which removes the false
-positives. The filter has at most MOST_BLOCKS blocks, so what is broadcast has a fixed bound; a list too long for that
-makes for more false positives, never for wrong results.
+Listed URLs are brought to a canonical form and fill the blocked Bloom filter of bloom.py, of at most 2 MB. A page's canonical
+URL can be listed only if the filter says "perhaps"; only such pages go on to the exact hash join with the list, which
+removes the false positives. All other pages, and those that a rule decides, are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,17 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import written
 
 #: Production rules: (host, path, verdict). A rule fits its host and all subdomains, if a path starts with the rule's.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Site names whose pages are listed: the production list has every canonical URL seen below them.
+#: Site names of the production list: it has every canonical URL that was seen below them with a query, as tracked links have
+#: one. Other forms of such a URL are blocked by the list alone; other pages of these sites are not.
 LISTED_SITES = ["ads-track", "free-bets", "cheap-pills", "casino-win", "spam-farm", "adult-x"]
-BITS = 6
-#: Bits of the filter for each listed URL.
-BITS_PER_URL = 16
-#: 2 ** 15 blocks of 64 bytes: 2 MB.
-MOST_BLOCKS = 1 << 15
 
 
 def _after_scheme(url: Column) -> Column:
@@ -42,7 +38,7 @@ def parts(df: DataFrame, url: str) -> DataFrame:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without a leading www. or m., and path without a trailing slash or .html; scheme, query and fragment do not count."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html|/)$", ""))
+    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html|/)\z", ""))
 
 
 def _fits(host: str, path: str) -> Column:
@@ -58,42 +54,10 @@ def ruled(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.withColumn("_rule", rule).withColumn("_rule_verdict", verdict)
 
 
-def _bits(url: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a canonical URL, and its bits in each of the eight words of a block."""
-    hashed = F.xxhash64(url)
-    block = F.pmod(hashed, F.lit(blocks)).cast("int")
-    more = F.xxhash64(F.lit("bits"), url)
-    words = []
-    for word in range(8):
-        bits = F.lit(0).cast("long")
-        for i in range(BITS):
-            place = F.shiftrightunsigned(more, 9 * i).bitwiseAND(511)
-            bit = F.when(F.shiftrightunsigned(place, 6) == word, F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
-            bits = bits.bitwiseOR(bit)
-        words.append(bits)
-    return block, words
-
-
-def possible(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of urls (_canonical) that the blocked Bloom filter of listed (canonical) passes."""
-    blocks = 1
-    wanted = max(1, listed.count() * BITS_PER_URL // 512)
-    while blocks < min(wanted, MOST_BLOCKS):
-        blocks *= 2
-    block, words = _bits(F.col("canonical"), blocks)
-    filled = listed.select(block.alias("_block"), *[w.alias(f"_w{i}") for i, w in enumerate(words)])
-    filled = filled.groupBy("_block").agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(8)])
-    block, words = _bits(F.col("_canonical"), blocks)
-    has = F.lit(True)
-    for i, word in enumerate(words):
-        has = has & (F.col(f"_w{i}").bitwiseAND(word) == word)
-    return urls.withColumn("_block", block).join(F.broadcast(filled), "_block").where(has).drop("_block", *[f"_w{i}" for i in range(8)])
-
-
 def listed_below(pages: DataFrame, sites: list[str] = LISTED_SITES) -> DataFrame:
-    """The distinct canonical URLs of pages whose host has one of the site names among its labels."""
-    split = parts(pages.select("url"), "url")
-    return split.where(F.arrays_overlap(F.split("_host", r"\."), F.array(*map(F.lit, sites)))).select(canonical(F.col("_host"), F.col("_path")).alias("canonical")).distinct()
+    """The distinct canonical URLs (column canonical) of pages with a query whose host has one of the site names among its labels."""
+    seen = parts(pages.select("url").where(F.rlike("url", F.lit(r"(?s)\A.*?://[^?#]*\?"))), "url")
+    return seen.where(F.arrays_overlap(F.split("_host", r"\."), F.array(*map(F.lit, sites)))).select(canonical(F.col("_host"), F.col("_path")).alias("canonical")).distinct()
 
 
 def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -103,15 +67,19 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]
     allowed. A null url, or one without "://", has neither host nor path, fits no rule and is not listed. Repeated rows
     each get a verdict. Further columns are ignored.
     """
-    listed = written(listed.where("canonical is not null").distinct())
-    pages = ruled(parts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("_page_url")), "_page_url"), rules).withColumn("_canonical", canonical(F.col("_host"), F.col("_path")))
-    unruled = pages.where("_rule is null and _host <> ''").select("_canonical")
+    listed = written(listed.select("canonical").where("canonical is not null").distinct())
+    pages = ruled(parts(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("_page_url")), "_page_url"), rules)
+    asked = F.when(F.col("_rule").isNull() & (F.col("_host") != ""), canonical(F.col("_host"), F.col("_path")))
+    marked = bloom.marked(pages.withColumn("_canonical", asked), F.col("_canonical"), listed)
+    out = ["page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule")]
+    surely = marked.where("not _perhaps").select(*out, F.coalesce("_rule_verdict", F.lit("allow")).alias("verdict"))
     # exact: each URL that may be listed once, joined with the list
-    hits = possible(unruled, listed).distinct().join(listed.hint("shuffle_hash"), F.col("_canonical") == F.col("canonical"), "left_semi")
-    out = pages.join(hits.withColumn("_hit", F.lit(True)), "_canonical", "left")
-    verdict = F.coalesce("_rule_verdict", F.when(F.col("_hit"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), verdict.alias("verdict"))
+    possible = marked.where("_perhaps")
+    hits = possible.select("_canonical").distinct().join(listed.hint("shuffle_hash"), F.col("_canonical") == F.col("canonical"), "left_semi").withColumn("_hit", F.lit(True))
+    perhaps = possible.join(hits, "_canonical", "left").select(*out, F.when(F.col("_hit"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+    return surely.union(perhaps)
 
 
 def filtered(pages: DataFrame) -> DataFrame:
+    """judged() with the production rules and list."""
     return judged(pages, listed_below(pages))
