@@ -49,6 +49,36 @@ def test_large_groups(spark, monkeypatch, small):
     assert collected(got) == brute(rows)
 
 
+@pytest.mark.parametrize("small", [0, 4])
+def test_templates(spark, monkeypatch, small):
+    """Forms with fields, quoted passages that overlap, and copies of them with more and less of their own words."""
+    monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    r = random.Random(10 + small)
+    rows = []
+    form = sentence(r, 90).split(" ")
+    for _ in range(60):
+        words = list(form)
+        for field in r.sample([10, 30, 50, 70], r.randrange(1, 4)):
+            words[field] = r.choice(["red", "green", "blue"])
+        rows.append(" ".join(words) + " " + sentence(r, r.choice([0, 5, 12, 20, 25, 30])))
+    whole = sentence(r, 80).split(" ")
+    for _ in range(60):
+        start = r.choice([0, 5, 10, 15])
+        rows.append(" ".join(whole[start : start + r.choice([50, 60, 65])]) + " " + sentence(r, r.randrange(0, 25)))
+    rows = [(i * 7 % 1009 - 300, t) for i, t in enumerate(rows)]
+    got = near_dups.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert collected(got) == brute(rows)
+
+
+def test_repeated_ids_are_settled_by_content(spark):
+    """Of rows with one doc_id the least by text stays, however the rows lie."""
+    rows = [(1, "b c d e f g", "x"), (1, "a a a a a a", "y"), (1, "b c d e f g", "w"), (2, "b c d e f g", "z"), (3, None, None), (3, None, "q"), (None, "b c d e f g", "n")]
+    for parts in (1, 4):
+        got = near_dups.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _perhaps string").repartition(parts)).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted([(1, "a a a a a a", "y"), (3, None, "q"), (None, "b c d e f g", "n")], key=repr)
+
+
 def test_clashing_names_and_nothing(documents, clashing, nothing):
     assert collected(near_dups.link(clashing)) == collected(near_dups.link(documents))
     assert near_dups.link(nothing).collect() == []
