@@ -13,22 +13,14 @@ BITS_PER_KEY = 16
 #: 2 ** 15 blocks of 64 bytes: 2 MB, however many keys there are.
 MOST_BLOCKS = 1 << 15
 
-_WORDS = [f"_w{i}" for i in range(8)]
 
-
-def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key, and its bits in each of the eight words of a block."""
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    more = F.xxhash64(F.lit("bits"), key)
-    words = []
-    for word in range(8):
-        bits = F.lit(0).cast("long")
-        for i in range(BITS):
-            place = F.shiftrightunsigned(more, 9 * i).bitwiseAND(511)
-            bit = F.when(F.shiftrightunsigned(place, 6) == word, F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
-            bits = bits.bitwiseOR(bit)
-        words.append(bits)
-    return block, words
+def _places(key: Column, blocks: int) -> tuple[Column, Column, list[tuple[Column, Column]]]:
+    """The block of a key, and for each of its bits the word of the block (0 to 7) and the bit as a long."""
+    block, more = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.xxhash64(F.lit("bits"), key)
+    place = lambda x, i: F.shiftrightunsigned(x, 9 * i).bitwiseAND(511)
+    word = lambda x, i: F.shiftrightunsigned(place(x, i), 6).cast("int")
+    bit = lambda x, i: F.call_function("shiftleft", F.lit(1).cast("long"), place(x, i).bitwiseAND(63).cast("int"))
+    return block, more, [(word(F.col("_more"), i), bit(F.col("_more"), i)) for i in range(BITS)]
 
 
 def marked(rows: DataFrame, key: Column, keys: DataFrame, most_blocks: int = MOST_BLOCKS, out: str = "_perhaps") -> DataFrame:
@@ -41,12 +33,13 @@ def marked(rows: DataFrame, key: Column, keys: DataFrame, most_blocks: int = MOS
     blocks, wanted = 1, keys.count() * BITS_PER_KEY // 512
     while blocks < min(wanted, most_blocks):
         blocks *= 2
-    block, words = _bits(F.col("_key"), blocks)
-    filled = keys.select(block.alias("_block"), *[w.alias(n) for n, w in zip(_WORDS, words, strict=True)])
-    filled = filled.groupBy("_block").agg(*[F.bit_or(n).alias(n) for n in _WORDS])
-    block, words = _bits(key, blocks)
-    has = key.isNotNull()
-    for name, word in zip(_WORDS, words, strict=True):
-        has = has & (F.col(name).bitwiseAND(word) == word)
-    joined = rows.withColumn("_block", block).join(F.broadcast(filled), "_block", "left")
-    return joined.withColumn(out, F.coalesce(has, F.lit(False))).drop("_block", *_WORDS)
+    block, more, places = _places(F.col("_key"), blocks)
+    bits = keys.select(block.alias("_block"), more.alias("_more")).select("_block", F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in places])).alias("_x"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("_x.word") == w, F.col("_x.bit"))), F.lit(0).cast("long")) for w in range(8)]
+    filled = bits.groupBy("_block").agg(F.array(*words).alias("_words"))
+    block, more, places = _places(key, blocks)
+    has = F.lit(True)
+    for word, bit in places:
+        has = has & (F.get("_words", word).bitwiseAND(bit) != 0)
+    joined = rows.withColumns({"_block": block, "_more": more}).join(F.broadcast(filled), "_block", "left")
+    return joined.withColumn(out, key.isNotNull() & F.coalesce(has, F.lit(False))).drop("_block", "_more", "_words")

@@ -4,22 +4,24 @@ Words are what is left of a text between ASCII characters other than digits and
 is WINDOW consecutive words of one benchmark item; a shorter item is one window. A word of a document inside any
 occurrence of a window is hit. Windows are looked up by a 64-bit hash first and then verified word by word.
 
-The benchmark is broadcast in blocks of at most BLOCK_BYTES of text, each scanned over all documents, so what is sent has
-a fixed bound however large the benchmark is.
+The hash set is a few flat arrays: sorted hashes, where each window stands in the benchmark's words, and its items. The
+benchmark is broadcast in blocks of at most BLOCK_BYTES of text, so what is sent has a fixed bound however large the
+benchmark is. With several blocks, each but the last leaves a small table of hits only; texts are never written between.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, texts, written
+from . import bloom
+from .common import dropped, pieces, texts, written
 
 WINDOW = 13
 #: Benchmark text that one scan looks for; an item is not cut, so one item may be larger.
@@ -30,141 +32,226 @@ LEAST_SHARE = 20
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _RUN = re.compile(rb"[^ ]+")
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+#: Bits of the table that most windows of a document fail at, for each window of the benchmark.
+_TABLE_BITS = 8
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORD_BYTES).split()
 
 
+def _word_hashes(some: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(some))
+
+
+def _window_hashes(hashed: np.ndarray, length: int) -> np.ndarray:
+    """The hash of each run of so many words."""
+    n = len(hashed) - length + 1
+    out = np.full(max(0, n), length, np.uint64)
+    for i in range(length if n > 0 else 0):
+        out += hashed[i : n + i] * _MULTIPLIERS[i % 64] * np.uint64(2 * (i // 64) + 1)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 class Windows:
-    """The windows of benchmark items (item_id, text), ready to be looked up; those of a null item_id name no item."""
+    """The windows of benchmark items (item_id or None, text), ready to be looked up; those of a null item_id name no item."""
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[bytes, set] = defaultdict(set)
+    def __init__(self, items, window: int = WINDOW):
+        self.ids: list[str] = []
+        joined, hashes, starts, ends, owners, lengths = [], [], [], [], [], []
+        at = 0
         for item, text in items:
-            own = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
+            own = words(text)
             length = min(window, len(own))
-            for i in range(len(own) - length + 1) if length else ():
-                self.items[own[i : i + length].tobytes()].update(() if item is None else (item,))
-        self.items = dict(self.items)
-        by_length = defaultdict(list)
-        for key in self.items:
-            by_length[len(key) // 4].append(np.frombuffer(key, np.int32))
-        self.hashes = {length: np.unique(self._hash(np.array(keys), length)) for length, keys in by_length.items()}
-
-    @staticmethod
-    def _hash(ids: np.ndarray, length: int) -> np.ndarray:
-        return (ids.astype(np.uint64) * np.resize(_MULTIPLIERS, length)).sum(axis=1)
-
-    def scan(self, text_words: list[bytes]) -> tuple[np.ndarray, set]:
-        """Which words are hit, and the items whose windows occur."""
-        n = len(text_words)
-        ids = np.fromiter(map(self.vocabulary.get, text_words, repeat(0)), np.int32, n)
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        edges, found = np.zeros(n + 1, np.int64), set()
-        for length, hashes in self.hashes.items():
-            if n < length:
+            if not length:
+                continue
+            joined.append(b" ".join(own) + b" ")
+            ends_at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+            found = _window_hashes(_word_hashes(own), length)
+            hashes.append(found)
+            starts.append(at + np.concatenate([[0], ends_at[:-1]])[: len(found)])
+            ends.append(at + ends_at[length - 1 :] - 1)
+            lengths.append(np.full(len(found), length, np.int16 if window < 1 << 15 else np.int32))
+            owners.append(np.full(len(found), -1 if item is None else len(self.ids), np.int32))
+            if item is not None:
+                self.ids.append(str(item))
+            at += int(ends_at[-1])
+        none = np.zeros(0, np.int64)
+        self.text = b"".join(joined)
+        hashes = np.concatenate([none.astype(np.uint64), *hashes])
+        order = np.argsort(hashes, kind="stable")
+        take = lambda parts, kind: np.concatenate([none, *parts])[order].astype(kind)
+        place = np.uint32 if at < 1 << 32 else np.uint64
+        self.hashes, self.starts, self.ends, self.owners = hashes[order], take(starts, place), take(ends, place), take(owners, np.int32)
+        self.lengths = sorted({int(n[0]) for n in lengths})
+        bits = 10
+        while 1 << bits < len(self.hashes) * _TABLE_BITS:
+            bits += 1
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[self.hashes >> self.shift] = True
+
+    def scan(self, found: list[list[bytes]]) -> dict[int, tuple[np.ndarray, set[str]]]:
+        """For the places of texts (lists of words) with hits: which words are hit, and the items whose windows occur."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(sizes)
+        hashed = _word_hashes(list(chain.from_iterable(found)))
+        out: dict[int, tuple[np.ndarray, set[str]]] = {}
+        for length in self.lengths:
+            looked = _window_hashes(hashed, length)
+            at = np.flatnonzero(self.table[looked >> self.shift])
+            if not len(at):
                 continue
-            at = np.flatnonzero(unknown[length:] == unknown[: n + 1 - length])
-            for part in np.array_split(at, len(at) // 65536 + 1):
-                if len(part):
-                    rows = np.lib.stride_tricks.sliding_window_view(ids, length)[part]
-                    likely = np.isin(self._hash(rows, length), hashes)
-                    for i, row in zip(part[likely].tolist(), rows[likely], strict=True):
-                        if (items := self.items.get(row.tobytes())) is not None:
-                            found |= items
-                            edges[i] += 1
-                            edges[i + length] -= 1
-        return np.cumsum(edges[:-1]) > 0, found
-
-
-def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
-    """First and one past the last word of each run of hit words."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
-def _scanner(windows):
+            first = np.searchsorted(self.hashes, looked[at])
+            sure = self.hashes[np.minimum(first, len(self.hashes) - 1)] == looked[at]
+            own = np.searchsorted(ends, at[sure], "right")
+            inside = at[sure] + length <= ends[own]  # not reaching into the next text
+            for i, k, doc in zip(at[sure][inside].tolist(), first[sure][inside].tolist(), own[inside].tolist(), strict=True):
+                begin = i - int(ends[doc] - sizes[doc])
+                self._verified(found[doc], begin, length, k, doc, out)
+        return out
+
+    def _verified(self, own: list[bytes], begin: int, length: int, k: int, doc: int, out: dict) -> None:
+        """Marks the words from `begin` on, if they are those of a window whose hash stands at k or behind it."""
+        phrase, hit, looked = b" ".join(own[begin : begin + length]), False, self.hashes[k]
+        while k < len(self.hashes) and self.hashes[k] == looked:
+            if self.text[int(self.starts[k]) : int(self.ends[k])] == phrase:
+                hit = True
+                if doc not in out:
+                    out[doc] = (np.zeros(len(own), bool), set())
+                if self.owners[k] >= 0:
+                    out[doc][1].add(self.ids[self.owners[k]])
+            k += 1
+        if hit:
+            out[doc][0][begin : begin + length] = True
+
+
+def _runs(hit: np.ndarray) -> list[int]:
+    """First and one past the last word of each run of hit words, flat."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
+
+
+def cut(text: bytes, spans: list[int]) -> bytes:
+    """text without the runs of words in spans, and without what stands between the words of a run."""
+    at = [m.span() for m in _RUN.finditer(text.translate(_WORD_BYTES))]
+    out, last = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        out.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*out, text[last:]])
+
+
+def _scanner(windows, cutting: bool = False, only_hits: bool = False):
+    """Over batches of (row, text, spans, items so far): (row, text, n_words, spans, items)."""
+
     def scan(batches):
         import pyarrow as pa
 
         known = windows.value
         for whole in batches:
             for batch in pieces(whole):
-                counts, spans, items = [], [], []
-                earlier = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True)
-                for text, (old_spans, old_items) in zip(texts(batch.column("_text")), earlier, strict=True):
-                    hit, found = known.scan(own := words(text))
-                    for a, b in zip(old_spans[::2], old_spans[1::2], strict=True):
+                raw = texts(batch.column(1))
+                found = [words(t) for t in raw]
+                hits = known.scan(found)
+                spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                for doc in sorted({*hits, *(i for i, s in enumerate(spans) if s)}):
+                    hit, own = hits.get(doc) or (np.zeros(len(found[doc]), bool), set())
+                    for a, b in zip(spans[doc][::2], spans[doc][1::2], strict=True):
                         hit[a:b] = True
-                    counts.append(len(own))
-                    spans.append([x for run in _runs(hit) for x in run])
-                    items.append(sorted(found.union(old_items)))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i) for i in range(batch.num_columns - 3)], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))],
-                    [*batch.schema.names[:-3], "_n_words", "_spans", "_items"],
-                )
+                    spans[doc], items[doc] = _runs(hit), sorted(own.union(items[doc]))
+                text = batch.column(1)
+                if cutting and any(spans):
+                    text = pa.array([t if t is None else cut(t, s) if s else t for t, s in zip(raw, spans, strict=True)], pa.binary()).cast(pa.string())
+                if not cutting:
+                    text = pa.nulls(len(raw), pa.string())
+                out = [batch.column(0), text, pa.array(list(map(len, found)), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays(out, ["_row", "_text", "_n_words", "_spans", "_items"])
+                yield out.take(pa.array(sorted(hits), pa.int64())) if only_hits else out
 
     return scan
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The items (item_id as text, or None; text as bytes) in parts of about block_bytes at most, one part at a time."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // block_bytes) + 1
     for part in range(parts):
-        yield [(item, bytes(text)) for item, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", F.encode("text", "utf-8")).collect()]
-
-
-def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """documents as struct `row`, with n_words, spans (first and one past the last word of each hit run, flat) and items.
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", F.encode("text", "utf-8").alias("text"))
+        yield part == parts - 1, ((row["item_id"], bytes(row["text"])) for row in some.toLocalIterator())
+
+
+_FOUND = [T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))]
+
+
+def _scanned(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, cutting: bool) -> DataFrame:
+    """rows (_row, _text) with _n_words, _spans and _items; _text without the hit words if cutting, else null."""
+    spark = rows.sparkSession
+    none = {f.name: F.expr(f"cast(array() as {f.dataType.simpleString()})") for f in _FOUND}
+    kind = lambda row: T.StructType([T.StructField("_row", row), T.StructField("_text", T.StringType()), T.StructField("_n_words", T.LongType()), *_FOUND])
+    # what is found in a text follows from the text, whose hash stands for it between blocks
+    key = F.struct(F.xxhash64("_text").alias("p"), F.xxhash64(F.lit("q"), "_text").alias("q"))
+    earlier = None
+    for last, items in _blocks(benchmark, block_bytes):
+        windows = spark.sparkContext.broadcast(Windows(items, window))
+        if last:
+            break
+        hits = rows.select(key.alias("_row"), "_text").withColumns(none).mapInArrow(_scanner(windows, only_hits=True), kind(T.StructType.fromDDL("p long, q long")))
+        hits = written(hits.select("_row", "_spans", "_items").dropDuplicates(["_row"]))
+        earlier = hits if earlier is None else earlier.union(hits)
+        windows.unpersist()
+    if earlier is None:
+        given = rows.withColumns(none)
+    else:
+        runs = F.collect_list("_spans").alias("_runs")
+        merged = earlier.groupBy(F.col("_row").alias("_key")).agg(runs, F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+        # a word is hit if a run of any block has it; runs may overlap, for each is marked on its own
+        merged = written(merged.select("_key", F.flatten("_runs").alias("_spans"), "_items"))
+        keyed = bloom.marked(rows.withColumn("_key", key), F.struct("_key.*"), merged.select("_key"))
+        clean, others = keyed.where("not _perhaps"), keyed.where("_perhaps")
+        given = clean.select("_row", "_text").withColumns(none).union(others.join(merged, "_key", "left").select("_row", "_text", *[F.coalesce(n, e).alias(n) for n, e in none.items()]))
+    return given.mapInArrow(_scanner(windows, cutting), kind(rows.schema["_row"].dataType))
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, columns: list[str] | None = None) -> DataFrame:
+    """documents (or those of their columns named) as struct `row`, with n_words, spans (first and one past the last word of
+    each hit run, flat) and items (their ids as text).
 
     A null text has no words. Benchmark rows without text or words find nothing; those without item_id hit words as others
     do, but are not among the items. Columns of documents may have any names, for they stay inside `row`. An empty benchmark hits nothing.
     """
-    spark = documents.sparkSession
-    out = documents.select(F.struct("*").alias("_row"), F.col(text).alias("_text")).withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.expr("cast(array() as array<bigint>)"), "_items": F.expr("cast(array() as array<bigint>)")})
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        out = (written(out) if k else out).mapInArrow(_scanner(spark.sparkContext.broadcast(Windows(block, window))), out.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in (documents.columns if columns is None else columns)])
+    out = _scanned(documents.select(row.alias("_row"), F.col(text).alias("_text")), benchmark, window, block_bytes, False)
     return out.select(F.col("_row").alias("row"), F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
-def _verdict(scanned: DataFrame) -> DataFrame:
-    n_hit = F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("spans") / 2, F.lit(0)).cast("int")), F.lit(0).cast("long"), lambda s, i: s + F.coalesce(F.get("spans", 2 * i + 1) - F.get("spans", 2 * i), F.lit(0)))
-    return scanned.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (LEAST_SHARE * F.col("n_hit") >= F.col("n_words")))
+def _n_hit(spans: Column) -> Column:
+    """The sum of (last - first) over runs: odd places count up, even ones down."""
+    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document."""
-    narrow = documents.select("doc_id", "text")
-    found = _verdict(scan(narrow, benchmark))
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (LEAST_SHARE * n_hit >= n_words)
 
 
-def cut(text: bytes, spans: list[int]) -> bytes:
-    """text without the runs of words in spans, and without what stands between the words of a run."""
-    at = [m.span() for m in _RUN.finditer(text.translate(_WORD_BYTES))]
-    out, last = [], 0
-    for a, b in zip(spans[::2], spans[1::2], strict=True):
-        out.append(text[last : at[a][0]])
-        last = at[b - 1][1]
-    return b"".join([*out, text[last:]])
-
-
-@F.pandas_udf(T.StringType())
-def _cut_all(text, spans):
-    import pandas as pd
-
-    return pd.Series([t if t is None or not len(s) else cut(t.encode(), list(s)).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
+def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of documents; nulls as scan() has them."""
+    found = scan(documents, benchmark, columns=["doc_id"]).withColumn("n_hit", _n_hit(F.col("spans")))
+    ids = F.array_join(F.array_sort("items"), ",")
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), _contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
 def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without the contaminated ones, and without the hit words of the others; n_chars follows the text."""
-    found = _verdict(scan(documents, benchmark)).where("not contaminated")
-    text = F.when(F.size("spans") > 0, _cut_all("row.text", "spans")).otherwise(F.col("row.text"))
-    out = found.withColumn("text", text)
-    columns = {"text": F.col("text"), "n_chars": F.when(F.size("spans") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))} if "n_chars" in documents.columns else {"text": F.col("text")}
-    return out.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+    """documents without the contaminated ones, and without the hit words of the others; n_chars follows the text.
 
+    Null texts and texts without hits stay as they are, repeated rows each, and so do all other columns, of any names.
+    """
+    others = [c for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col("text").alias("_text"))
+    found = _scanned(rows, benchmark, WINDOW, BLOCK_BYTES, True)
+    found = found.where(~_contaminated(_n_hit(F.col("_spans")), F.col("_n_words")))
+    of = {c: F.col(f"_row.`{c}`") for c in others} | {"text": F.col("_text")}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(F.size("_spans") > 0, F.length("_text").cast(documents.schema["n_chars"].dataType)).otherwise(of["n_chars"])
+    return found.select(*[of[c].alias(c) for c in documents.columns])

@@ -31,7 +31,7 @@ KEEP_WEIGHT = 0.7
 SHORTEST = 16
 SEED = 11
 #: Chunks that go through the filters at once.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
 
 
 def chunks(length: int) -> int:

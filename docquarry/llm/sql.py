@@ -124,7 +124,7 @@ def _decontamination() -> str:
     w = decontaminate.WINDOW
     return f"""
 with items as (
-    select item_id, {words("text")} as w from benchmark where item_id is not null
+    select item_id, {words("text")} as w from benchmark
 ), windows as (
     select distinct item_id, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') as gram
     from (select item_id, w, least({w}, len(w)) as n, unnest(range(1, len(w) - least({w}, len(w)) + 2)) as i from items where len(w) > 0)

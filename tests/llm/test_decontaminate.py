@@ -1,7 +1,10 @@
 import hashlib
+import pickle
 import random
 import re
 
+import numpy as np
+
 from docquarry.llm import decontaminate
 
 from corpus_fixtures import collected, sentence
@@ -17,8 +20,8 @@ def brute(documents, benchmark):
     for item, text in benchmark:
         w = words(text)
         n = min(13, len(w))
-        for i in range(len(w) - n + 1) if n and item is not None else ():
-            windows.setdefault(tuple(w[i : i + n]), set()).add(item)
+        for i in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[i : i + n]), set()).update(() if item is None else (item,))
     out = []
     for doc, text in documents:
         w, hit, found = words(text), set(), set()
@@ -40,6 +43,7 @@ def cases():
         a = r.randrange(len(w))
         documents.append((200 + i, sentence(r, r.randrange(60)) + " -- " + " ".join(w[a : a + r.randrange(1, 30)]) + ". " + sentence(r, r.randrange(400))))
     documents.append((300, " ".join([items[4][1]] * 5000)))
+    documents.append((None, items[11][1]))
     return documents + documents[3:5], items
 
 
@@ -60,6 +64,31 @@ def test_blocks_give_the_same(spark):
     assert collected(scanned) == collected(blocks)
 
 
+def test_hashes_that_collide_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_window_hashes", lambda hashed, length: np.full(max(0, len(hashed) - length + 1), 5, np.uint64))
+    documents, items = cases()
+    windows = decontaminate.Windows([(i, None if t is None else t.encode()) for i, t in items])
+    found = [decontaminate.words((t or "").encode()) for _, t in documents[:20]]
+    hits = windows.scan(found)
+    for k, (i, n_words, n_hit, n_items, _, _) in enumerate(brute([(k, t) for k, (_, t) in enumerate(documents[:20])], items)):
+        hit, own = hits.get(i, (np.zeros(n_words, bool), set()))
+        assert (n_words, n_hit, n_items) == (len(found[i]), int(hit.sum()), len(own)), k
+
+
+def test_windows_are_small():
+    """What is sent stays within a few times the benchmark's text."""
+    r = random.Random(1)
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(5000)).encode()) for i in range(40)]
+    size, sent = sum(len(t) for _, t in items), len(pickle.dumps(decontaminate.Windows(items)))
+    assert sent < 6 * size
+
+
+def test_text_ids(spark):
+    passage = sentence(random.Random(3), 14)
+    got = decontaminate.report(spark.createDataFrame([(1, passage)], "doc_id long, text string"), spark.createDataFrame([("b/2", passage), ("a/10", passage)], "item_id string, text string")).first()
+    assert got["n_items"] == 2 and got["items_sha256"] == hashlib.sha256(b"a/10,b/2").hexdigest()
+
+
 def test_nothing(spark, documents, nothing, clashing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(nothing, none).collect() == []
