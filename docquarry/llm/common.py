@@ -50,6 +50,39 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A key with more rows than this may be joined by broadcast, and so many of the most frequent keys at most.
+HOT_ROWS, HOT_KEYS = 65_536, 10_000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with `one` on key, where `one` has at most one row for each key; the rows of no key meet in one task.
+
+    Of keys with more than HOT_ROWS rows, the HOT_KEYS most frequent ones are joined by broadcast, which is as large as that
+    and no larger; any other key has less than 1/HOT_KEYS of all rows, or few. how: left or inner. rows is read three times.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).where((F.col("_rows") > HOT_ROWS) & F.col(key).isNotNull()).orderBy(F.desc("_rows"), key).limit(HOT_KEYS).select(key).collect()
+    if not hot:
+        return rows.join(one, key, how)
+    keys = rows.sparkSession.createDataFrame(hot, rows.select(key).schema).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(keys), key, "left")
+    some, others = marked.where("_hot").drop("_hot"), marked.where("_hot is null").drop("_hot")
+    return some.join(F.broadcast(one.join(F.broadcast(keys.drop("_hot")), key, "left_semi")), key, how).unionByName(others.join(one, key, how))
+
+
+#: Copies of a row that are dealt out together.
+COPIES = 4096
+
+
+def numbered_copies(rows: DataFrame, copies: str, out: str) -> DataFrame:
+    """rows, each as often as `copies` says, numbered from 0 in `out`. Rows with many copies are dealt out to many tasks."""
+    few, many = rows.where(F.col(copies) <= COPIES), rows.where(F.col(copies) > COPIES)
+    few = few.withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
+    many = many.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES).cast("long"))))
+    many = many.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_from")
+    many = many.withColumn(out, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, copies) - 1))).drop("_from")
+    return few.where(F.col(copies) > 0).unionByName(many)
+
+
 def slices(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, is_null) of an Arrow string column; a null has no bytes."""
     n = len(column)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered_copies, written
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
@@ -77,12 +77,15 @@ def placed(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     offsets = counts.select("shard", "bucket", (F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("offset"))
     order = Window.partitionBy("shard", "bucket").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     slotted = equal.withColumn("bucket", bucket).withColumn("ahead", F.coalesce(F.sum("copies").over(order), F.lit(0))).join(offsets, ["shard", "bucket"])
-    first = F.col("offset") + F.col("ahead")
-    out = slotted.withColumn("slot", F.explode(F.sequence(first, first + F.col("copies") - 1)))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    out = numbered_copies(slotted, "copies", "copy")
+    slot = (F.col("offset") + F.col("ahead") + F.col("copy")).cast("long")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
 
 
 def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """documents with shard and grown_shard; any columns of those names are replaced."""
+    """documents with shard and grown_shard. A null doc_id shares the shard of key 0; repeated rows share one; other columns,
+    null or not, go along. A documents column named shard or grown_shard is refused: it would be lost."""
+    if taken := {"shard", "grown_shard"} & set(documents.columns):
+        raise ValueError(f"documents already have {', '.join(sorted(taken))}")
     jump = jump_shards(F.col("doc_id"), shards)
     return documents.withColumns({"shard": jump["shard"], "grown_shard": jump["grown"]})

@@ -1,10 +1,11 @@
 import zlib
 from collections import Counter
 
+import pytest
 from corpus_fixtures import collected
 from pyspark.sql import functions as F
 
-from docquarry.llm import sharding
+from docquarry.llm import common, sharding
 
 
 def jump(key: int, n: int) -> int:
@@ -39,7 +40,9 @@ def test_placed(documents, rows, nothing, clashing):
     assert sharding.placed(nothing).collect() == []
 
 
-def test_many_equal_rows(spark):
+@pytest.mark.parametrize("at_once", [7, 4096])
+def test_many_equal_rows(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "COPIES", at_once)
     rows = spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("same").alias("text")).union(spark.range(200).select("id", F.lit("x")))
     got = sharding.placed(rows).where(F.col("shard") == jump(5, 40)).select("slot").collect()
     assert sorted(r["slot"] for r in got) == list(range(len(got))) and len(got) >= 3000
@@ -47,5 +50,7 @@ def test_many_equal_rows(spark):
 
 def test_sharded(documents, clashing, nothing):
     assert sharding.sharded(documents).columns == [*documents.columns, "shard", "grown_shard"]
-    assert sharding.sharded(clashing).where("shard < 0 or shard > 39 or grown_shard > 40").count() == 0
+    with pytest.raises(ValueError, match="shard"):
+        sharding.sharded(clashing)
+    assert sharding.sharded(clashing.drop("shard")).where("shard < 0 or shard > 39 or grown_shard > 40").count() == 0
     assert sharding.sharded(nothing).collect() == []
