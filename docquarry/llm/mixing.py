@@ -6,8 +6,11 @@ weights. As a node never gets more than its leaves hold, siblings take up a shor
 A leaf then takes its budget from its documents in seeded orders, one order for each epoch: all of as many epochs as fit,
 and of the next one the shortest prefix that reaches the budget (so each leaf may exceed it by less than one document).
 
-Everything is integer arithmetic in DataFrame operations. The prefix is found from sums over BUCKETS ranges of the seeded
-order; only the documents of the one range where it ends are put in order, so no leaf is ever sorted or held whole.
+Everything is integer arithmetic in DataFrame operations. The place of a document in an order is a hash of its id and text.
+Where a prefix ends is found in rounds: sums over 256 ranges of what is open of each leaf, then of the range where the
+prefix ends, and at last of single places. So no leaf is ever sorted or held whole, and taking a document needs no more
+than to compare its place with the end of its leaf, where it lies. Only rows at that very place, which are copies of one
+document, are counted out.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, numbered_copies, written
 
 # production parameters: weights of the children of a node, and the domain of each source
 DOMAINS = {"web": [f"src{i}" for i in range(10)], "books": [f"src{i}" for i in range(10, 15)], "reference": [f"src{i}" for i in range(15, 20)]}
@@ -25,8 +28,8 @@ SOURCE_WEIGHTS = {"src0": 3}
 #: Share of all tokens that the mixture takes: (numerator, denominator).
 SHARE = (3, 5)
 SEED = 17
-#: Ranges of the seeded order of a leaf, as hexadecimal digits of its hash: 16 ** 3.
-BUCKET_DIGITS = 3
+#: Rounds that narrow down where a prefix ends, and hexadecimal digits of the place that each adds: 16 ** 2 ranges.
+ROUNDS, DIGITS = 3, 2
 #: Plans of up to so many leaves are broadcast (some 100 bytes each); larger ones are joined by shuffling.
 BROADCAST_LEAVES = 20_000
 
@@ -89,9 +92,61 @@ def plan(leaves: DataFrame, share: tuple[int, int], epochs: int) -> DataFrame:
     return above.withColumnRenamed("given", "budget")
 
 
-def _place(seed: int, epoch: Column, doc_id: Column) -> Column:
-    """32 hexadecimal digits: the place of a document in the order of an epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-"))))
+def _place(seed: int) -> Column:
+    """32 hexadecimal digits: the place of a document (doc_id, digest) in the order of epoch `last`."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("last").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("digest")))
+
+
+def _leaf(documents: DataFrame, *more: Column) -> DataFrame:
+    """domain, lang, source, doc_id and a digest of the text of each row, and more."""
+    source = F.coalesce("source", F.lit("(none)"))
+    digest = F.coalesce(F.md5(F.encode("text", "utf-8")), F.lit("-"))
+    return documents.select(domain_of(source, DOMAINS).alias("domain"), F.coalesce("lang", F.lit("(none)")).alias("lang"), source.alias("source"), F.col("doc_id").alias("doc_id"), digest.alias("digest"), *more)
+
+
+def _ends(counted: DataFrame, plans: DataFrame, sent, seed: int) -> DataFrame:
+    """(leaf, cut, take): of epoch `last`, a leaf takes all documents before place cut, and `take` of the rows at it."""
+    open_ = plans.where("rest > 0").select(*_LEVELS, "last", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    places = counted.join(sent(open_.select(*_LEVELS, "last")), _LEVELS).withColumn("place", _place(seed)).drop("last")
+    ahead = lambda by: F.sum("sum").over(Window.partitionBy(*_LEVELS).orderBy(by)) - F.col("sum")
+    for turn in range(1, ROUNDS + 1):
+        inside = places.join(sent(open_), _LEVELS).where(F.startswith("place", F.col("prefix")))
+        sums = inside.groupBy(*_LEVELS, "last", "rest", "before", F.substring("place", 1, DIGITS * turn).alias("prefix")).agg(F.sum("n_tokens").alias("sum"))
+        found = sums.withColumn("before", F.col("before") + ahead("prefix")).where("before < rest and before + sum >= rest")
+        after = written(found.select(*_LEVELS, "last", "rest", "prefix", "before"))
+        if turn > 1:
+            dropped(open_)
+        open_ = after
+    # rows at one place are copies of one document
+    inside = places.join(sent(open_), _LEVELS).where(F.startswith("place", F.col("prefix")))
+    sums = inside.groupBy(*_LEVELS, "rest", "before", "place").agg(F.sum("n_tokens").alias("sum"), F.max("n_tokens").alias("each"))
+    found = sums.withColumn("before", F.col("before") + ahead("place")).where("before < rest and before + sum >= rest")
+    return written(found.select(*_LEVELS, F.col("place").alias("cut"), F.expr("(rest - before + each - 1) div each").alias("take")))
+
+
+def _taken(rows: DataFrame, decided: DataFrame, sent, seed: int) -> DataFrame:
+    """The rows (leaf, doc_id, digest, row) that the mixture takes, with budget and epoch, one for each epoch."""
+    placed = rows.join(sent(decided), _LEVELS).withColumn("place", _place(seed))
+    whole = F.col("last") + F.when(F.col("place") < F.col("cut"), 1).otherwise(0)
+    before = placed.withColumn("whole", whole).where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
+    # copies at the very end: equal rows are counted before any meet, and as many go on as the budget takes
+    equal = placed.where("place = cut").groupBy(*_LEVELS, "budget", "last", "take", F.to_json(F.struct("row")).alias("as_text")).agg(F.first("row").alias("row"), F.count("*").alias("copies"))
+    ahead = F.sum("copies").over(Window.partitionBy(*_LEVELS).orderBy("as_text")) - F.col("copies")
+    equal = equal.withColumn("copies", F.greatest(F.least("copies", F.col("take") - ahead), F.lit(0)).cast("long"))
+    out = [*_LEVELS, "row", "budget"]
+    return before.select(*out, "epoch").union(numbered_copies(equal, "copies", "copy").select(*out, F.col("last").alias("epoch")))
+
+
+def _decided(documents: DataFrame, share: tuple[int, int], epochs: int, seed: int):
+    """The counted documents (leaf, doc_id, digest, n_tokens), what each leaf takes, and how that is sent to rows."""
+    counted = written(_leaf(documents, token_count(F.col("text")).alias("n_tokens")))
+    leaves = written(counted.groupBy(*_LEVELS).agg(F.sum("n_tokens").alias("tokens")))
+    # each leaf: so many epochs whole, and of epoch `last` a prefix of `rest` tokens
+    plans = plan(leaves, share, epochs).where("budget > 0").withColumn("last", F.expr("budget div tokens").cast("int")).withColumn("rest", F.expr("budget % tokens"))
+    plans = written(plans)
+    sent = F.broadcast if leaves.count() <= BROADCAST_LEAVES else lambda df: df
+    decided = plans.select(*_LEVELS, "budget", "last").join(_ends(counted, plans, sent, seed), _LEVELS, "left")
+    return counted, written(decided), sent
 
 
 def mix(documents: DataFrame, share: tuple[int, int] = SHARE, epochs: int = 1, seed: int = SEED) -> DataFrame:
@@ -99,36 +154,22 @@ def mix(documents: DataFrame, share: tuple[int, int] = SHARE, epochs: int = 1, s
     language, origin, epoch (from 0), n_tokens and budget (of the leaf); one row for each epoch that takes a document.
 
     A null lang or source is a leaf of its own, named (none). Null and blank texts have no tokens; a leaf without any
-    tokens gets nothing. Repeated rows each count. Columns of documents may have any names: they stay inside `row`.
+    tokens gets nothing. Repeated rows each count; rows without a doc_id differ by their text. Columns of documents may
+    have any names: they stay inside `row`.
     """
-    rows = documents.select(F.struct("*").alias("row"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("source"), token_count(F.col("text")).alias("n_tokens"), F.col("doc_id").alias("doc_id"))
-    rows = rows.withColumn("domain", domain_of(F.col("source"), DOMAINS))
-    leaves = written(rows.groupBy(*_LEVELS).agg(F.sum("n_tokens").alias("tokens")))
-    # each leaf: so many epochs whole, and of epoch `last` a prefix of `rest` tokens
-    plans = plan(leaves, share, epochs).where("budget > 0").withColumn("last", F.expr("budget div tokens").cast("int")).withColumn("rest", F.expr("budget % tokens"))
-    plans = written(plans)
-    few = leaves.count() <= BROADCAST_LEAVES
-    sent = F.broadcast if few else lambda df: df
-    placed = rows.join(sent(plans), _LEVELS).withColumn("place", _place(seed, F.col("last"), F.col("doc_id")))
-    bucket = F.substring("place", 1, BUCKET_DIGITS)
-    sums = placed.where("rest > 0").groupBy(*_LEVELS, "rest", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("sum"))
-    upto = F.sum("sum").over(Window.partitionBy(*_LEVELS).orderBy("bucket"))
-    ends = written(sums.withColumn("before", upto - F.col("sum")).where("before < rest and before + sum >= rest").select(*_LEVELS, F.col("bucket").alias("end"), "before"))
-    placed = placed.join(sent(ends), _LEVELS, "left").withColumn("bucket", bucket)
-    whole = placed.where("last > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("last") - 1)))
-    inside = placed.where("end is not null and bucket < end").withColumn("epoch", F.col("last"))
-    order = Window.partitionBy(*_LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where("end is not null and bucket = end").withColumn("ahead", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("ahead < rest").withColumn("epoch", F.col("last"))
-    out = ["row", "domain", F.col("lang").alias("language"), F.col("source").alias("origin"), "epoch", "n_tokens", "budget"]
-    return whole.select(*out).union(inside.select(*out)).union(edge.select(*out))
+    _, decided, sent = _decided(documents, share, epochs, seed)
+    taken = _taken(_leaf(documents, F.struct("*").alias("row")), decided, sent, seed)
+    return taken.select("row", "domain", F.col("lang").alias("language"), F.col("source").alias("origin"), "epoch", token_count(F.col("row.text")).alias("n_tokens"), "budget")
 
 
 def report(documents: DataFrame, epochs: int = 2) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, n_tokens and leaf_budget of each document and epoch taken."""
-    taken = mix(documents.select("doc_id", "text", "lang", "source"), epochs=epochs)
-    return taken.select("row.doc_id", "domain", F.col("language").alias("lang"), F.col("origin").alias("source"), "epoch", "n_tokens", F.col("budget").alias("leaf_budget"))
+    """doc_id, domain, lang, source, epoch, n_tokens and leaf_budget of each document and epoch taken; odd rows as mix()
+    has them. Texts are read once."""
+    counted, decided, sent = _decided(documents.select("doc_id", "text", "lang", "source"), SHARE, epochs, SEED)
+    taken = _taken(counted.withColumn("row", F.struct("doc_id", "n_tokens")), decided, sent, SEED)
+    return taken.select("row.doc_id", *_LEVELS, "epoch", "row.n_tokens", F.col("budget").alias("leaf_budget"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The rows of documents that one epoch of the mixture takes."""
+    """The rows of documents that one epoch of the mixture takes, with the columns of documents; odd rows as mix() has them."""
     return mix(documents).select("row.*")

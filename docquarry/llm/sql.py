@@ -78,7 +78,7 @@ def _mixing(epochs: int = 2) -> str:
     sql = f"""
 with rows_ as (
     select doc_id, coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source, {_when("coalesce(source, '(none)')", domains, "'other'")} as domain,
-        coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')), 0)::bigint as n_tokens from documents
+        coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')), 0)::bigint as n_tokens, coalesce(md5(text), '-') as digest from documents
 ), leaves as (
     select domain, lang, source, sum(n_tokens)::hugeint as tokens, sum(n_tokens)::hugeint * {epochs} as cap from rows_ group by all
 ), given0 as (
@@ -109,7 +109,7 @@ with rows_ as (
         + f""", plans as (
     select *, (given // tokens)::int as last, given % tokens as rest from given3 join leaves using (domain, lang, source) where given > 0
 ), placed as (
-    select *, md5(concat_ws(':', '{mixing.SEED}', last, coalesce(doc_id::varchar, '-'))) as place from rows_ join plans using (domain, lang, source)
+    select *, md5(concat_ws(':', '{mixing.SEED}', last, coalesce(doc_id::varchar, '-'), digest)) as place from rows_ join plans using (domain, lang, source)
 ), ahead as (
     select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by place, doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as ahead from placed
 ), taken as (

@@ -1,11 +1,12 @@
 import hashlib
+import random
 from collections import defaultdict
 from fractions import Fraction
 
 import pytest
-from corpus_fixtures import collected
+from corpus_fixtures import DOCUMENTS, collected, sentence
 
-from docquarry.llm import mixing
+from docquarry.llm import common, mixing
 
 
 def deal(given, children):
@@ -31,9 +32,9 @@ def brute(rows, share, epochs, seed=mixing.SEED):
     docs = []
     for i, text, lang, source, *_ in rows:
         domain = next((d for d, s in mixing.DOMAINS.items() if source in s), "other")
-        docs.append((i, domain, lang or "(none)", source or "(none)", len((text or "").split())))
+        docs.append((i, domain, lang or "(none)", source or "(none)", len((text or "").split()), "-" if text is None else hashlib.md5(text.encode()).hexdigest()))
     leaves = defaultdict(int)
-    for _, d, lang, s, n in docs:
+    for _, d, lang, s, n, _ in docs:
         leaves[d, lang, s] += n
     budget = min(sum(leaves.values()) * share[0] // share[1], epochs * sum(leaves.values()))
     weights = [mixing.DOMAIN_WEIGHTS, mixing.LANGUAGE_WEIGHTS, mixing.SOURCE_WEIGHTS]
@@ -49,10 +50,10 @@ def brute(rows, share, epochs, seed=mixing.SEED):
             continue
         own = [x for x in docs if x[1:4] == leaf]
         last, rest = divmod(b, leaves[leaf])
-        out += [(i, *leaf, e, n, b) for i, *_, n in own for e in range(last)]
-        place = lambda x: (hashlib.md5(f"{seed}:{last}:{'-' if x[0] is None else x[0]}".encode()).hexdigest(), x[0] or -1, x[4])  # noqa: E731, B023
+        out += [(i, *leaf, e, n, b) for i, *_, n, _ in own for e in range(last)]
+        place = lambda x: (hashlib.md5(f"{seed}:{last}:{'-' if x[0] is None else x[0]}:{x[5]}".encode()).hexdigest(), x[0] or -1, x[4])  # noqa: E731, B023
         ahead = 0
-        for i, *_, n in sorted(own, key=place):
+        for i, *_, n, _ in sorted(own, key=place):
             if ahead < rest:
                 out.append((i, *leaf, last, n, b))
             ahead += n
@@ -65,6 +66,20 @@ def test_against_brute_force(documents, rows, share, epochs):
     assert collected(got) == brute(rows, share, epochs)
 
 
+@pytest.mark.parametrize("share", [(3, 5), (1, 50), (6, 5)])
+def test_one_id_on_most_rows(spark, monkeypatch, share):
+    """Rows without an id, of one id, and copies of one row, each more than a third of all."""
+    monkeypatch.setattr(common, "COPIES", 16)
+    r = random.Random(share[0])
+    rows = [(r.choice([None, 7]), sentence(r, r.randrange(0, 9)), "en", "src0", i) for i in range(300)]
+    rows += [(3, "the same five words again", "en", "src0", i % 3) for i in range(400)]
+    documents = spark.createDataFrame(rows, DOCUMENTS).repartition(5)
+    got = mixing.mix(documents, share, 2).select("row.doc_id", "domain", "language", "origin", "epoch", "n_tokens", "budget")
+    assert collected(got) == brute(rows, share, 2)
+    again = [sorted(map(tuple, mixing.mix(documents.repartition(n), share, 2).select("row.*", "epoch").collect()), key=repr) for n in (1, 7)]
+    assert again[0] == again[1]
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = [("web", "en", "src0", 1000), ("web", "en", "src1", 10), ("web", "de", "src0", 1000), ("books", "en", "src10", 1000)]
     plans = mixing.plan(spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), (1, 3), 1)
