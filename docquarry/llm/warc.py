@@ -1,10 +1,12 @@
 """WARC archives of pages: equal payloads are written once, all later records of them are revisits.
 
-Headers (page_id, digest) are shuffled by payload digest to find the response of each payload. Only that row's html is
-written; every other row becomes a revisit record without payload, with a fresh header that refers to the response. The
-archives are gzip files of WARC/1.1 records, written by Spark's own writer to the shared folder, so any file system that
-Spark knows will do. Reading parses records by their Content-Length and resolves revisits by a join with the responses
-they refer to.
+Headers (page_id, url, digest) are written once and shuffled by payload digest to find the response of each payload. Every
+other row becomes a revisit record without payload, with a fresh header that refers to the response. Payloads stay where
+they lie: a filter of the digests that occur more than once shows which rows are surely responses, and of the rest only
+those move that may be the first of their digest. The archives are gzip files of WARC/1.1 records of bounded size,
+written by Spark's own writer to the shared folder, so any file system that Spark knows will do. Reading parses records by
+their Content-Length and resolves revisits by a join with the responses they refer to. In both joins by digest or record,
+frequent keys are joined by broadcast, so the revisits of an empty page are spread over tasks and files.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ import base64
 import hashlib
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from . import bloom
+from .common import dropped, numbered_copies, scratch, spread_join, written
 
-#: Payload bytes that one archive holds, about.
+#: Payload bytes, and revisits, that one archive holds, about.
 ARCHIVE_BYTES = 32 << 20
+ARCHIVE_REVISITS = 100_000
 #: Payloads smaller than this are never revisited.
 LEAST_BYTES = 0
 #: The date of capture, which pages do not carry.
@@ -31,9 +35,8 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _NO_ID = (1 << 63) - 1
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of binary payload in bare upper-case base 32: four times 40 bits, each eight characters."""
-    hexadecimal = F.sha1(payload)
+def base32(hexadecimal: Column) -> Column:
+    """A SHA-1 in hexadecimal as bare upper-case base 32: four times 40 bits, each eight characters."""
     out = []
     for part in range(4):
         bits = F.conv(F.substring(hexadecimal, 10 * part + 1, 10), 16, 10).cast("long")
@@ -41,8 +44,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*out)
 
 
-def _record_id(digest: Column, page: Column, copy: Column) -> Column:
-    key = F.md5(F.concat_ws(":", digest, page.cast("string"), copy.cast("string")))
+def _record_id(digest: Column, page: Column, url: Column, copy: Column) -> Column:
+    key = F.md5(F.concat_ws(":", digest, page.cast("string"), F.coalesce(F.md5(F.encode(url, "utf-8")), F.lit("-")), copy.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -62,7 +65,7 @@ def _record(kind: str, payload: Column | None) -> Column:
         _header("WARC-Record-ID", F.col("record_id")),
         _header("WARC-Date", F.lit(DATE)),
         _header("WARC-Target-URI", F.col("url")),
-        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         _header("WARC-Page-ID", F.col("page_id").cast("string")),
         _header("WARC-Profile", F.lit(_PROFILE if kind == "revisit" else None).cast("string")),
         _header("WARC-Refers-To", F.col("refers_to") if kind == "revisit" else F.lit(None).cast("string")),
@@ -74,29 +77,51 @@ def _record(kind: str, payload: Column | None) -> Column:
     return F.concat(*head, payload if payload is not None else F.lit(""), F.lit("\r\n\r"))
 
 
+def _written_records(records: DataFrame, path: str, most: int) -> None:
+    records.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", max(1, most)).text(path)
+
+
 def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     """Writes a record for each row of pages (page_id long, url string, html string) to archives below path.
 
     A null html is an empty payload; a null url is left out. Of equal payloads, the row with the smallest page_id is the
-    response (rows without page_id come last; of rows that repeat a page_id, the first by url), and all others revisit it.
+    response (rows without page_id come last; of rows that repeat a page_id, the first by url), and all others revisit it;
+    those of fewer than least_bytes are all responses. Repeated rows have a record each.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     rows = rows.withColumn("page", F.coalesce("page_id", F.lit(_NO_ID)))
-    headers = rows.select("page_id", "page", "url", "digest", "bytes")
-    firsts = headers.groupBy("digest").agg(F.min("page").alias("first"), F.sum("bytes").alias("of_all"))
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // ARCHIVE_BYTES + 1)
-    copy = F.row_number().over(Window.partitionBy("digest", "page").orderBy(F.col("url").asc_nulls_last()))
-    small = F.col("bytes") < least_bytes
-    # html moves once, by (digest, page): a payload with many copies is spread by their pages
-    own = firsts.select(F.col("digest"), F.col("first").alias("page"), F.lit(True).alias("is_first"))
-    responses = rows.repartition(parts, "digest", "page").withColumn("copy", copy).join(own, ["digest", "page"], "left").where((F.col("is_first") & (F.col("copy") == 1)) | small)
-    responses = responses.withColumn("record_id", _record_id(F.col("digest"), F.col("page"), F.col("copy")))
-    responses.select(_record("response", F.col("html")).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(f"{path}/responses")
-    later = headers.withColumn("copy", copy).join(firsts, "digest").where(~small & ((F.col("page") != F.col("first")) | (F.col("copy") > 1)))
-    later = later.withColumn("record_id", _record_id(F.col("digest"), F.col("page"), F.col("copy"))).withColumn("refers_to", _record_id(F.col("digest"), F.col("first"), F.lit(1)))
-    later.select(_record("revisit", None).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(f"{path}/revisits")
+    # rows that agree in all of these are told apart by the number of the copy
+    name = ["digest", "page", "page_id", "url", "bytes"]
+    headers = written(rows.groupBy(*name).agg(F.count("*").alias("copies")))
+    order = F.struct("page", F.col("url").isNull().alias("no_url"), "url")
+    firsts = headers.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.sum("copies").alias("all"))
+    firsts = written(firsts.select("digest", F.col("first.page").alias("first_page"), F.col("first.url").alias("first_url"), (F.col("all") > 1).alias("several")))
+    total, n = headers.agg(F.sum(F.col("bytes") * F.col("copies")), F.sum("copies")).first()
+    most = ARCHIVE_BYTES * (n or 1) // max(1, total or 0)
+
+    # a row whose digest surely occurs once is a response where it lies, and so is each payload too small to be revisited
+    several = firsts.where("several").select("digest")
+    again = bloom.marked(rows, F.when(F.col("bytes") >= least_bytes, F.col("digest")), several, out="_again")
+    copy = F.when(F.col("bytes") < least_bytes, F.monotonically_increasing_id()).otherwise(0)
+    alone = again.where("not _again").select(*name, "html", copy.alias("copy"))
+    # of the others, those that surely aren't the first of their digest go no further; html of equal rows is put together first
+    passing = bloom.marked(firsts, F.col("digest"), several, out="_again").where("_again")
+    key = lambda page, url: F.concat_ws(":", "digest", page, F.coalesce(F.md5(F.encode(url, "utf-8")), F.lit("-")))
+    perhaps = bloom.marked(again.where("_again"), key("page", "url"), passing.select(key("first_page", "first_url")), out="_first").where("_first")
+    perhaps = perhaps.groupBy(*name).agg(F.first("html").alias("html"))
+    is_first = (F.col("page") == F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))
+    moved = perhaps.join(firsts, "digest").where(is_first).select(*name, "html", F.lit(0).cast("long").alias("copy"))
+    responses = alone.unionByName(moved).withColumn("record_id", _record_id(F.col("digest"), F.col("page"), F.col("url"), F.col("copy")))
+    _written_records(responses.select(_record("response", F.col("html")).alias("value")), f"{path}/responses", most)
+
+    later = spread_join(headers.where(F.col("bytes") >= least_bytes), firsts.where("several").drop("several"), "digest", "inner")
+    later = numbered_copies(later.withColumn("is_first", is_first), "copies", "copy").where("not is_first or copy > 0")
+    later = later.withColumn("record_id", _record_id(F.col("digest"), F.col("page"), F.col("url"), F.col("copy")))
+    later = later.withColumn("refers_to", _record_id(F.col("digest"), F.col("first_page"), F.col("first_url"), F.lit(0)))
+    _written_records(later.select(_record("revisit", None).alias("value")), f"{path}/revisits", ARCHIVE_REVISITS)
+    dropped(headers)
+    dropped(firsts)
 
 
 def _plain(content: bytes):
@@ -165,16 +190,17 @@ def _parsed(batches):
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each record below path, revisits resolved."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content")
-    found = found.mapInArrow(_parsed, "page_id long, record_id string, kind string, refers string, bytes long, digest string")
+    found = written(found.mapInArrow(_parsed, "page_id long, record_id string, kind string, refers string, bytes long, digest string"))
     responses = found.where("kind = 'response'")
     originals = responses.select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("full_bytes"), F.col("digest").alias("full_digest"))
     out = ["page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type")]
-    resolved = found.where("kind = 'revisit'").select("page_id", "kind", "refers").join(originals, "refers", "left")
+    resolved = spread_join(found.where("kind = 'revisit'").select("page_id", "kind", "refers"), originals, "refers")
     return responses.select(*out, F.lit(None).cast("long").alias("refers_to")).union(resolved.select("page_id", "full_bytes", "full_digest", "kind", "refers_to"))
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """The records of pages, written to archives in the shared folder and read back from them."""
+    """The records of pages, written to archives in the shared folder and read back from them: a row for each row of pages,
+    null and repeated ones too, as write() has them. Further columns are ignored."""
     path = scratch(pages.sparkSession)
     write(pages, path)
     return read(pages.sparkSession, path)

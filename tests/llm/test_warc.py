@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import warc
+from docquarry.llm import bloom, common, warc
 
 PAGES = [(5, "http://a/5", "<p>one</p>"), (3, "http://a/3", "<p>one</p>"), (9, None, "<p>one</p>"), (1, "http://b\r\nX-Evil: 1", "\r\n\r\nWARC/1.1\r\n\r\n"), (2, "u", None), (4, "u", ""), (7, "ü", "é中" * 100), (None, "n", "<p>one</p>"), (None, "n", "alone"), (3, "http://a/3b", "<p>one</p>"), (8, "z", "x" * 3_000_000)]
 KIND = "page_id long, url string, html string"
@@ -52,6 +52,28 @@ def test_small_payloads_may_stay_responses(spark, tmp_path):
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
 
 
+def test_one_payload_on_most_pages(spark, tmp_path, monkeypatch):
+    """An empty page on most rows, also without a page_id and copied: spread over files, and every row has its record."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(common, "COPIES", 32)
+    monkeypatch.setattr(warc, "ARCHIVE_REVISITS", 40)
+    pages = [(i * 7 % 1000 + 1, f"u{i}", "") for i in range(300)] + [(None, f"n{i % 5}", None) for i in range(200)] + [(5, "same", "x")] * 150 + [(i + 2000, None, f"p{i % 250}") for i in range(400)]
+    df = spark.createDataFrame(pages, KIND).repartition(4)
+    assert sorted((tuple(r) for r in warc.archived(df).collect()), key=repr) == brute(pages)
+    warc.write(df, str(tmp_path / "w"))
+    files = [list(warc.records(f.read_bytes())) for f in Path(tmp_path, "w").rglob("*.gz")]
+    assert len({h["WARC-Record-ID"] for own in files for h, _ in own}) == len(pages)
+    revisits = [sum(h["WARC-Type"] == "revisit" for h, _ in own) for own in files]
+    assert max(revisits) <= 40
+
+
+def test_filter_that_passes_all(spark, monkeypatch):
+    """A filter that takes every payload for a repeated one; none gets lost."""
+    monkeypatch.setattr(bloom, "marked", lambda rows, key, keys, most_blocks=1, out="_perhaps": rows.withColumn(out, key.isNotNull()))
+    pages = [(i, f"u{i % 3}", f"p{i % 70}") for i in range(100)]
+    assert sorted((tuple(r) for r in warc.archived(spark.createDataFrame(pages, KIND)).collect()), key=repr) == brute(pages)
+
+
 def test_broken_archives():
     good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert list(warc.records(gzip.compress(good) + gzip.compress(good * 2))) == [({"Content-Length": "2"}, b"ab")] * 3
