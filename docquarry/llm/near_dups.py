@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import dropped, pieces, texts, written
+from .common import dropped, pieces, spread_join, texts, written
 
 WORDS = 5
 #: Values that a sketch retains. With SHARE: at similarity 0.75, fewer than half of the union's bottom 64 are shared with probability under 1e-5.
@@ -327,7 +327,7 @@ def link(documents: DataFrame) -> DataFrame:
     for table in (listed, sketches, hubs, labelled):  # nothing below reads these
         dropped(table)
     of_print = prints.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = verdicts.join(of_print, "print", "left")
+    out = spread_join(verdicts, of_print, "print")
     return out.select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

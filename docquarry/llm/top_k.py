@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 K = 10
-QUERY_BLOCK = 1024
+#: Queries that one scan of all candidates scores: what is broadcast is this many vectors.
+QUERY_BLOCK = 4096
 BINS = 1024
 #: Candidates that a task scores at once, and chunks between two looks at a task's own kth scores.
-CANDIDATES = 512
+CANDIDATES = 256
 LOOK = 8
 #: A query whose open range holds so few scores needs no further round.
 FEW = 64
@@ -181,7 +182,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int
     vectors and queries have vec_id long and embedding array of numbers. A row whose vec_id is the query's is no candidate
     for it. Null vectors, and those with null or non-finite components, take no part, nor do rows without vec_id. Vectors
     of different lengths have no score. Repeated rows are candidates each; of queries that repeat a vec_id, the least
-    vector that takes part counts. Scores beyond a long are held at its ends. Without queries or candidates, the result is empty.
+    vector that takes part counts. Scores beyond a long are held at its ends. Without queries or candidates, the result is
+    empty. Further columns of either table, of any names, are ignored.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))

@@ -51,6 +51,14 @@ def test_unfit_copies_of_a_query(spark):
     check(spark, vectors + unfit, vectors + unfit)
 
 
+def test_clashing_names_and_repeated_ids(spark):
+    """A query id with a sound and an unfit row, in tables whose other columns have the names of the result."""
+    vectors = [(100, [None, 1.0]), (100, [1.0, 1.0]), (1, [0.5, 1.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(vectors, KIND).selectExpr("*", "'x' as score", "0 as rank", "1 as query_id", "2 as query", "3 as place", "4 as need")
+    got = top_k.search(df, df.where("vec_id = 100"))
+    assert sorted(tuple(r) for r in got.collect()) == brute(vectors, vectors[:2], 10) and got.count() == 2
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], KIND)
     some = spark.createDataFrame([(1, [1.0])], KIND)
