@@ -16,8 +16,10 @@ _LITERALS = {"null": NULL, "true": TRUE, "false": FALSE}
 _SPACE = re.compile(r"[\t\r \n]*")
 _WORD = re.compile(r"[_a-zA-Z][_a-zA-Z0-9]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
-_STRING = re.compile(r'"((?:[^"\\\x00-\x1f]|\\["\\bfnrt/]|\\u[0-9a-fA-F]{4})*)"')
-_STRING_PART = re.compile(r'(?:[^"\\\x00-\x1f]|\\["\\bfnrt/]|\\u[0-9a-fA-F]{4})*')
+_CONTENT = r'[^"\\\x00-\x1f]*(?:\\(?:["\\bfnrt/]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*'
+_STRING, _STRING_PART = re.compile(f'"({_CONTENT})"'), re.compile(_CONTENT)
+#: Space and a token that is right as it stands: punctuation, a string, a number that ends where its digits do, or a word.
+_SOUND = re.compile(rf'[\t\r \n]*(?:([{{}}\[\],:])|"({_CONTENT})"|({_NUMBER.pattern})(?![.0-9A-Za-z_])|({_WORD.pattern}))')
 _LINE_COMMENT = re.compile(r"//[^\n]*")
 _BLOCK_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 
@@ -32,31 +34,48 @@ class Token(NamedTuple):
 
 
 class Lexer:
-    """Splits text into tokens; rows and columns count from 0, columns in bytes of UTF-8."""
+    """Splits text into tokens; rows and columns count from 0, columns in bytes of UTF-8.
 
-    def __init__(self, text: str, strict: bool = True):
-        self.text, self.strict = text, strict
-        self.at, self.row, self.line = 0, 0, 0
+    Without `places`, tokens have no row and column; place() finds them from a token's start.
+    """
+
+    def __init__(self, text: str, strict: bool = True, places: bool = True):
+        self.text, self.strict, self.places = text, strict, places
+        self.ascii = text.isascii()
+        self.at = 0
+        self.seen = self.row = self.col = 0
 
     def place(self, at: int) -> tuple[int, int]:
-        """Row and column of a place in the text, at or behind the last one asked for."""
-        breaks = self.text.count("\n", self.line, at)
-        if breaks:
+        """Row and column of a place in the text. Places that are asked for in order cost what lies between them."""
+        if at < self.seen:
+            self.seen = self.row = self.col = 0
+        text, start = self.text, self.seen
+        if breaks := text.count("\n", start, at):
             self.row += breaks
-            self.line = self.text.rindex("\n", self.line, at) + 1
-        return self.row, len(self.text[self.line : at].encode("utf-8", "surrogatepass"))
+            start, self.col = text.rindex("\n", start, at) + 1, 0
+        self.col += at - start if self.ascii else len(text[start:at].encode("utf-8", "surrogatepass"))
+        self.seen = at
+        return self.row, self.col
 
     def _token(self, kind: str, end: int, data: str | None = None, error: str | None = None, error_at: int | None = None) -> Token:
         start = self.at
-        row, col = self.place(start if error_at is None else error_at)
+        at = start if error_at is None else error_at
+        row, col = self.place(at) if self.places else (-1, -1)
         self.at = end
-        return Token(kind, row, col, self.text[start:end] if data is None else data, error, start)
+        return Token(kind, row, col, self.text[start:end] if data is None else data, error, at)
 
     def _invalid(self, error: str, at: int) -> Token:
         return self._token(INVALID, len(self.text), "", error, at)
 
     def next(self) -> Token | None:
         text = self.text
+        if not self.places and (sound := _SOUND.match(text, self.at)):
+            which = sound.lastindex
+            data = sound[which]
+            kind = (None, _PUNCTUATION.get(data), STRING, NUMBER, _LITERALS.get(data, None if self.strict else IDENTIFIER))[which]
+            if kind is not None:
+                self.at = end = sound.end()
+                return Token(kind, -1, -1, data, None, end - len(data) - 2 * (which == 2))
         self.at = _SPACE.match(text, self.at).end()
         if self.at >= len(text):
             return None

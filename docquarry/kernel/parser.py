@@ -8,6 +8,7 @@ relaxed dialect, goes through a token loop with an explicit stack, so nesting ha
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal, InvalidOperation
 
 from . import lexer as lx
@@ -69,6 +70,10 @@ class ParseError(ValueError):
         return str(self)
 
 
+#: What may be an escaped half of a surrogate pair; where it stands, the token loop looks closer.
+_HALF = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 class _TooFar(ValueError):
     pass
 
@@ -111,7 +116,7 @@ def parse(text: str | bytes, strict: bool = True, allow_duplicates: bool = True,
     if strict and not (max_depth or max_array_size or max_object_size):
         try:
             value = _DECODERS[allow_duplicates].decode(text)
-            if "\\u" not in text and not _SURROGATE.search(text):
+            if not _SURROGATE.search(text) and not ("\\u" in text and _HALF.search(text)):
                 return value
         except (ValueError, RecursionError):
             pass
@@ -128,9 +133,10 @@ def is_valid(text, **options) -> bool:
 
 class _Parser:
     def __init__(self, text, strict, allow_duplicates, max_depth, max_array_size, max_object_size):
-        self.lexer, self.strict, self.allow_duplicates = lx.Lexer(text, strict), strict, allow_duplicates
+        self.lexer, self.strict, self.allow_duplicates = lx.Lexer(text, strict, places=False), strict, allow_duplicates
         self.max_depth, self.max_array_size, self.max_object_size = max_depth, max_array_size, max_object_size
         self.token = None
+        self.whole = not _SURROGATE.search(text)
 
     def advance(self) -> lx.Token | None:
         """Moves to the next token that is no comment, and returns it."""
@@ -139,31 +145,37 @@ class _Parser:
             if self.token is None or self.token.type != lx.COMMENT:
                 break
         if self.token is not None and self.token.error:
-            raise ParseError(_OF_TOKEN[self.token.error], self.token.row, self.token.col)
+            self.fail(_OF_TOKEN[self.token.error])
         return self.token
 
     def fail(self, code: str):
-        if self.token is None:
-            row, col = self.lexer.place(len(self.lexer.text))
-        else:
-            row, col = self.token.row, self.token.col
-        raise ParseError(code, row, col)
+        raise ParseError(code, *self.lexer.place(len(self.lexer.text) if self.token is None else self.token.start))
+
+    def content(self) -> str:
+        """What stands between the quotes of the current token."""
+        data = self.token.data
+        if self.whole and "\\" not in data:
+            return data
+        try:
+            data = unescape(data)
+        except UnicodeError:
+            self.fail("invalid_utf8")
+        except ValueError:
+            self.fail("invalid_escape_code")
+        if _SURROGATE.search(data):
+            self.fail("invalid_utf8")
+        return data
 
     def string(self) -> str:
         """The string at the current token, with those that follow it in the relaxed dialect; moves past it."""
-        out = []
-        while True:
-            try:
-                data = unescape(self.token.data)
-            except UnicodeError:
-                self.fail("invalid_utf8")
-            except ValueError:
-                self.fail("invalid_escape_code")
-            if _SURROGATE.search(data):
-                self.fail("invalid_utf8")
-            out.append(data)
-            if self.advance() is None or self.strict or self.token.type != lx.STRING:
-                return "".join(out)
+        first = self.content()
+        if self.advance() is None or self.strict or self.token.type != lx.STRING:
+            return first
+        out = [first]
+        while self.token is not None and self.token.type == lx.STRING:
+            out.append(self.content())
+            self.advance()
+        return "".join(out)
 
     def scalar(self):
         """The scalar at the current token; moves past it."""

@@ -74,3 +74,29 @@ def test_tokens():
     last = list(tokens("[1.]"))[-1]
     assert (last.type, last.error) == ("INVALID", "err_number_no_frac")
     assert [list(tokens(t))[-1].error for t in ("-", "1e", "tru", '"\\q"', '"x')] == ["err_number_lone_minus", "err_number_no_exp", "err_invalid", "err_string_escape", "err_string_unterminated"]
+
+
+def test_errors_behind_strings_keep_their_code():
+    for text, code in (('["a" $]', "unexpected_character"), ('"a" "b"', "unexpected_character"), ('{"a" "unterminated', "unterminated_string"), ('["\\u0041" tru]', "invalid_token")):
+        with pytest.raises(ParseError) as e:
+            parse(text)
+        assert e.value.code == code
+
+
+@pytest.mark.parametrize("end", ["}", ",}", ", oops", ""])
+def test_long_lines_take_time_in_proportion(end):
+    """Relaxed, escaped and malformed documents of one line."""
+    import time
+
+    def seconds(n):
+        text = "{" + ",".join(f'"k{i}": [1, "\\u00e9\\ud83d\\ude00"]' for i in range(n)) + end
+        began = time.perf_counter()
+        for strict in (True, False):
+            try:
+                parse(text, strict=strict)
+            except ParseError:
+                pass
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert min(seconds(20_000) for _ in range(2)) < 60 * max(min(seconds(1000) for _ in range(3)), 1e-3)
