@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ..kernel import model, patch, pointer, printer
 from ..kernel.model import Members
 from ..kernel.parser import ParseError, parse
-from ..kernel.schema import JsonSchema
+from ..kernel.schema import InvalidSchema, JsonSchema
 
 STRING, BOOLEAN, INTEGER, DOUBLE = T.StringType(), T.BooleanType(), T.IntegerType(), T.DoubleType()
 STRINGS = T.ArrayType(STRING)
@@ -32,6 +32,9 @@ PATCHED = T.StructType([T.StructField("ok", BOOLEAN), T.StructField("results", S
 VALIDATED = T.StructType([T.StructField("valid", BOOLEAN), T.StructField("output", STRING)])
 FAILURES = T.ArrayType(T.StructType([T.StructField("instance_location", STRING), T.StructField("keyword_location", STRING), T.StructField("error", STRING)]))
 
+UNUSABLE = T.StructType([T.StructField("what", STRING), T.StructField("base_uri", STRING), T.StructField("pointer", STRING)])
+READ = T.StructType([T.StructField("doc", STRING), T.StructField("error", ERROR)])
+
 _WIDE = Context(prec=100_000)
 
 
@@ -51,6 +54,8 @@ def kernel_udf(function: Callable, returns: T.DataType, whole: bool = False):
             out = [None if x is None and not whole else function(x, *more) for x, *more in zip(first, *rest, strict=True)]
         else:
             out = [None if x is None and not whole else function(x) for x in first]
+        if isinstance(returns, T.ArrayType) and isinstance(returns.elementType, T.StructType) and (listed := _listed(out, to_arrow_type(returns))) is not None:
+            return listed
         return pa.array(out, to_arrow_type(returns))
 
     run.__name__ = getattr(function, "__name__", "kernel")
@@ -61,6 +66,22 @@ def kernel_udf(function: Callable, returns: T.DataType, whole: bool = False):
     return F.arrow_udf(run, returns)
 
 
+def _listed(out: list, kind):
+    """An Arrow array of lists of structs from lists of tuples, column by column; None for lists of anything else."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [row for x in out if x for row in x]
+    if rows and not isinstance(rows[0], tuple):
+        return None
+    fields = list(kind.value_type)
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    offsets = np.cumsum([0, *(len(x) if x else 0 for x in out)], dtype=np.int32)
+    nulls = np.array([x is None for x in out], bool)
+    return pa.ListArray.from_arrays(pa.array(offsets), inner, type=kind, mask=pa.array(nulls) if nulls.any() else None)
+
+
 def _column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
@@ -153,12 +174,52 @@ def json_parse_error(doc, **options) -> Column:
     return kernel_udf(error, ERROR)(_column(doc))
 
 
+def _error_of(e: ParseError) -> dict:
+    return {"code": e.code, "row": e.row, "col": e.col, "message": e.message}
+
+
+def json_read(doc, **options) -> Column:
+    """struct(doc, error): what json_parse and json_parse_error say, from one reading; error is NULL for a valid document."""
+
+    def read(text):
+        try:
+            return {"doc": compact(parse(text, **options)), "error": None}
+        except ParseError as e:
+            return {"doc": None, "error": _error_of(e)}
+
+    return kernel_udf(read, READ)(_column(doc))
+
+
 # access
 
 
-def json_get(doc, ptr, **options) -> Column:
-    """The text of what a JSON pointer finds. Of members with one name, the last counts."""
-    return _at(doc, ptr, compact, STRING, **options)
+def json_get(doc, ptr, on_missing: str = "null", **options) -> Column:
+    """The text of what a JSON pointer finds. Of members with one name, the last counts. NULL where it finds nothing in a
+    document, or with on_missing='error' an IndexError."""
+    if on_missing == "null":
+        return _at(doc, ptr, compact, STRING, **options)
+    tokens = pointer.parse_pointer(ptr)
+
+    def get_or_fail(value):
+        if (found := pointer.find(value, tokens)) is pointer.NOTHING:
+            raise IndexError(f"the pointer {ptr!r} finds nothing")
+        return compact(found)
+
+    return _on_value(doc, get_or_fail, STRING, **options)
+
+
+def json_get_or_add(doc, name: str, value="null", **options) -> Column:
+    """struct(value, doc): the last member of that name and the document; an object without one gets it at its end."""
+    item = parse(value)
+
+    def get_or_add(x):
+        if not isinstance(x, Members):
+            return pointer.NOTHING
+        if (at := x.find(name)) < 0:
+            x.append((name, item))
+        return {"value": compact(x[at][1]), "doc": compact(x)}
+
+    return _on_value(doc, get_or_add, T.StructType([T.StructField("value", STRING), T.StructField("doc", STRING)]), **options)
 
 
 def json_get_unique(doc, name: str, on_repeated: str = "null", **options) -> Column:
@@ -219,7 +280,7 @@ def json_entries(doc, ptr="", sorted: bool = False, **options) -> Column:
     """array(struct(name, value)) of an object's members."""
 
     def entries(value):
-        return [{"name": k, "value": compact(v)} for k, v in (model.by_name(value) if sorted else value)] if isinstance(value, Members) else pointer.NOTHING
+        return [(k, compact(v)) for k, v in (model.by_name(value) if sorted else value)] if isinstance(value, Members) else pointer.NOTHING
 
     return _at(doc, ptr, entries, ENTRIES, **options)
 
@@ -233,11 +294,12 @@ def json_elements(doc, ptr="", **options) -> Column:
     return _at(doc, ptr, elements, STRINGS, **options)
 
 
-def json_flat(doc, **options) -> Column:
-    """array(struct(pointer, type, value)) of the document and everything inside it."""
+def json_flat(doc, scalars: bool = False, **options) -> Column:
+    """array(struct(pointer, type, value)) of the document and everything inside it, or of the scalars in it alone, which
+    saves printing each container for all that is around it."""
 
     def flat(value):
-        return [{"pointer": pointer.pointer_text(at), "type": model.type_name(x), "value": compact(x)} for at, x in pointer.walk(value)]
+        return [(pointer.pointer_text(at), model.type_name(x), compact(x)) for at, x in pointer.walk(value) if not (scalars and isinstance(x, list))]
 
     return _on_value(doc, flat, PATHS, **options)
 
@@ -285,12 +347,14 @@ def json_as_boolean(doc, ptr="", on_mismatch: str = "null", **options) -> Column
 # texts
 
 
-def json_print(doc, pretty: bool = True, sorted: bool = False, escape_slash: bool = False, tabs: bool = False, relaxed: bool = False, compact_array: bool = False, color: bool = False, ptr="", **options) -> Column:
-    """The document as text in a style of one's choice."""
+def json_print(doc, pretty: bool = True, sorted: bool = False, escape_slash: bool = False, tabs: bool = False, relaxed: bool = False, compact_array: bool = False, color: bool = False, ptr="", of_type: str | None = None, **options) -> Column:
+    """The document, or what ptr finds, as text in a style of one's choice; with of_type, NULL for values of other types."""
     style = printer.Style(pretty, sorted, escape_slash, tabs, relaxed, compact_array, color)
+    if of_type is not None:
+        model.default_of(of_type)
 
     def printed(value):
-        return printer.to_text(value, style)
+        return printer.to_text(value, style) if of_type in (None, model.type_name(value)) else pointer.NOTHING
 
     return _at(doc, ptr, printed, STRING, **options)
 
@@ -415,6 +479,43 @@ def json_add(doc, name: str, value, overwrite: bool = True, **options) -> Column
     return _changed(doc, value, added, options)
 
 
+def _replaced(x, tokens: list[str], item):
+    """x with item for what tokens lead to, which must be there."""
+    if not tokens:
+        return item
+    parent, last = pointer.find(x, tokens[:-1]), tokens[-1]
+    if isinstance(parent, Members):
+        parent[parent.find(last)] = (last, item)
+    else:
+        parent[int(last)] = item
+    return x
+
+
+def json_set(doc, ptr: str, value, **options) -> Column:
+    """A document whose value at a literal pointer is another one, of any type; NULL where the pointer finds nothing. Of
+    members with one name, the last is set."""
+    tokens = pointer.parse_pointer(ptr)
+
+    def set_at(x, item):
+        return pointer.NOTHING if pointer.find(x, tokens) is pointer.NOTHING else _replaced(x, tokens, item)
+
+    return _changed(doc, value, set_at, options)
+
+
+def json_set_type(doc, ptr: str, name: str, **options) -> Column:
+    """A document whose value at a literal pointer is the default of a type, unless it is of that type already; NULL where
+    the pointer finds nothing."""
+    tokens, empty = pointer.parse_pointer(ptr), model.default_of(name)
+
+    def set_type(x):
+        found = pointer.find(x, tokens)
+        if found is pointer.NOTHING or model.type_name(found) == name:
+            return found if found is pointer.NOTHING else compact(x)
+        return compact(_replaced(x, tokens, empty))
+
+    return _on_value(doc, set_type, STRING, **options)
+
+
 def json_append(doc, value, **options) -> Column:
     """An array with one more item at its end."""
 
@@ -462,11 +563,16 @@ def json_array_sort(doc, **options) -> Column:
     return _on_value(doc, in_order, STRING, **options)
 
 
-def json_patch(doc, operations, rfc: bool = False, atomic: bool = False, **options) -> Column:
+def json_patch(doc, operations, rfc: bool = False, atomic: bool = False, ptr: str = "", **options) -> Column:
     """struct(ok, results, doc): a document after a JSON Patch, literal text or a column. Operations go on after one that
-    fails; atomic leaves the document as it was instead. A patch that is no JSON is invalid as a whole."""
+    fails; atomic leaves the document as it was instead. A patch that is no JSON is invalid as a whole. With ptr, what
+    that pointer finds is patched and comes out alone; NULL where it finds nothing."""
+    tokens = pointer.parse_pointer(ptr)
 
     def outcome(value, steps):
+        value = pointer.find(value, tokens)
+        if value is pointer.NOTHING:
+            return value
         if steps is pointer.NOTHING:
             return {"ok": False, "results": [patch.INVALID], "doc": compact(value)}
         ok, results, after = patch.patch(value, steps, rfc, atomic)
@@ -486,6 +592,99 @@ def json_patch(doc, operations, rfc: bool = False, atomic: bool = False, **optio
     return _on_value(doc, patched_literal, PATCHED, **options)
 
 
+def json_verdict(doc, schema=None, references=(), **options) -> Column:
+    """struct(valid, error) of each text: whether it is a document and fits the schema, if there is one; error is the parse
+    error's message, or the output unit up to the first failure."""
+    loaded = None if schema is None else _Loaded(schema, references, None)
+
+    def verdict(text):
+        try:
+            value = parse(text, **options)
+        except ParseError as e:
+            return {"valid": False, "error": e.message}
+        if loaded is None:
+            return {"valid": True, "error": None}
+        unit = loaded.get().output(value, False)
+        return {"valid": unit[0][1], "error": None if unit[0][1] else compact(unit)}
+
+    return kernel_udf(verdict, T.StructType([T.StructField("valid", BOOLEAN), T.StructField("error", STRING)]))(_column(doc))
+
+
+# several changes from one reading
+
+
+class Step:
+    """A change of a value by a function of the value and of the values of columns of JSON texts; see json_apply."""
+
+    def __init__(self, function: Callable, *columns: Column):
+        self.function, self.columns = function, columns
+
+
+def _item_step(function: Callable, value) -> Step:
+    if isinstance(value, Column):
+        return Step(function, value)
+    item = parse(value)
+    return Step(lambda x: function(x, item))
+
+
+def _is_array(x) -> bool:
+    return isinstance(x, list) and not isinstance(x, Members)
+
+
+def get(ptr: str) -> Step:
+    """What a pointer finds."""
+    tokens = pointer.parse_pointer(ptr)
+    return Step(lambda x: pointer.find(x, tokens))
+
+
+def add(name: str, value, overwrite: bool = True) -> Step:
+    """An object with a member set, as json_add has it."""
+
+    def added(x, item):
+        if not isinstance(x, Members):
+            return pointer.NOTHING
+        if (at := x.find(name)) < 0:
+            return Members([*x, (name, item)])
+        return Members([*x[:at], (name, item), *x[at + 1 :]]) if overwrite else x
+
+    return _item_step(added, value)
+
+
+def append(value) -> Step:
+    """An array with one more item at its end."""
+    return _item_step(lambda x, item: [*x, item] if _is_array(x) else pointer.NOTHING, value)
+
+
+def remove_key(name: str) -> Step:
+    """An object without any member of that name."""
+    return Step(lambda x: Members(m for m in x if m[0] != name) if isinstance(x, Members) else pointer.NOTHING)
+
+
+def remove_index(index: int) -> Step:
+    """An array without the item at index."""
+    return Step(lambda x: [v for i, v in enumerate(x) if i != index] if _is_array(x) else pointer.NOTHING)
+
+
+def json_apply(doc, changes: dict[str, list[Step]], **options) -> Column:
+    """struct of texts, one for each name of changes: the document after its steps, one after the other. The document is
+    read once for all. A step that finds nothing, or nothing of its type, makes its text NULL."""
+    columns = [c for steps in changes.values() for step in steps for c in step.columns]
+    kind = T.StructType([T.StructField(name, STRING) for name in changes])
+    plan = {name: [(step.function, len(step.columns)) for step in steps] for name, steps in changes.items()}
+
+    def applied(value, *texts):
+        given, out = iter(texts), {}
+        for name, steps in plan.items():
+            x = value
+            for function, n in steps:
+                items = [_parsed(next(given), {}) for _ in range(n)]
+                x = pointer.NOTHING if x is pointer.NOTHING or any(i is pointer.NOTHING for i in items) else function(x, *items)
+            out[name] = None if x is pointer.NOTHING else compact(x)
+        return out
+
+    return _on_value(doc, applied, kind, *columns, **options)
+
+
 # schemas
 
 
@@ -497,7 +696,7 @@ def _schema(text: str, references: tuple) -> JsonSchema:
 class _Loaded:
     """A schema that travels as text and is loaded once in each worker."""
 
-    def __init__(self, schema, references, resolver, keywords=None):
+    def __init__(self, schema, references, resolver, keywords=None, applicators=None):
         as_text = lambda x: x if isinstance(x, str) else compact(x)
         references = references if isinstance(references, dict) else {parse(as_text(r)).latest()["$id"]: r for r in references}
         fetched: dict[str, str] = {}
@@ -509,22 +708,23 @@ class _Loaded:
 
         self.text, known = as_text(schema), {k: as_text(v) for k, v in references.items()}
         # loading here shows what is wrong before any job runs, and asks the resolver for all it is needed for
-        JsonSchema(self.text, known, keep if resolver else None)
-        self.references, self.keywords, self.own = tuple((known | fetched).items()), keywords, None
+        JsonSchema(self.text, known, keep if resolver else None, keywords, applicators)
+        self.references, self.keywords, self.applicators, self.own = tuple((known | fetched).items()), keywords, applicators, None
 
     def get(self) -> JsonSchema:
-        if not self.keywords:
+        if not (self.keywords or self.applicators):
             return _schema(self.text, self.references)
         if self.own is None:
-            self.own = JsonSchema(self.text, dict(self.references), keywords=self.keywords)
+            self.own = JsonSchema(self.text, dict(self.references), keywords=self.keywords, applicators=self.applicators)
         return self.own
 
 
-def json_schema_valid(doc, schema, references=(), resolver=None, keywords=None, **options) -> Column:
+def json_schema_valid(doc, schema, references=(), resolver=None, keywords=None, applicators=None, **options) -> Column:
     """Whether the document fits a JSON Schema (2020-12); NULL if it is no document. InvalidSchema is raised at once.
 
-    keywords adds assertions of one's own: a name to a function of instance and keyword value that returns an error or None."""
-    loaded = _Loaded(schema, references, resolver, keywords)
+    keywords adds assertions of one's own: a name to a function of instance and keyword value that returns an error or None.
+    applicators adds keywords with a schema as their value: a name to a function of instance and fits(value)."""
+    loaded = _Loaded(schema, references, resolver, keywords, applicators)
 
     def fits(value):
         return loaded.get().is_valid(value)
@@ -532,9 +732,24 @@ def json_schema_valid(doc, schema, references=(), resolver=None, keywords=None,
     return _on_value(doc, fits, BOOLEAN, **options)
 
 
-def json_schema_validate(doc, schema, full: bool = False, references=(), resolver=None, keywords=None, **options) -> Column:
+def json_schema_error(schema) -> Column:
+    """struct(what, base_uri, pointer) of what makes the schema in a column of texts unusable; NULL for a sound one."""
+
+    def unusable(text):
+        try:
+            JsonSchema(text)
+        except InvalidSchema as e:
+            return {"what": e.what, "base_uri": e.base_uri, "pointer": e.pointer}
+        except ParseError as e:
+            return {"what": e.message, "base_uri": "", "pointer": ""}
+        return None
+
+    return kernel_udf(unusable, UNUSABLE)(_column(schema))
+
+
+def json_schema_validate(doc, schema, full: bool = False, references=(), resolver=None, keywords=None, applicators=None, **options) -> Column:
     """struct(valid, output): the verdict and the output unit, up to the first failure or in full."""
-    loaded = _Loaded(schema, references, resolver, keywords)
+    loaded = _Loaded(schema, references, resolver, keywords, applicators)
 
     def validated(value):
         unit = loaded.get().output(value, full)
@@ -543,11 +758,11 @@ def json_schema_validate(doc, schema, full: bool = False, references=(), resolve
     return _on_value(doc, validated, VALIDATED, **options)
 
 
-def json_schema_failures(doc, schema, references=(), resolver=None, keywords=None, **options) -> Column:
+def json_schema_failures(doc, schema, references=(), resolver=None, keywords=None, applicators=None, **options) -> Column:
     """array(struct(instance_location, keyword_location, error)) of all failures; empty for a valid document."""
-    loaded = _Loaded(schema, references, resolver, keywords)
+    loaded = _Loaded(schema, references, resolver, keywords, applicators)
 
     def failures(value):
-        return [{"instance_location": at, "keyword_location": keyword, "error": error} for at, keyword, error in loaded.get().errors(value)]
+        return loaded.get().errors(value)
 
     return _on_value(doc, failures, FAILURES, **options)

@@ -50,6 +50,11 @@ def pop_back(entries: Column) -> Column:
     return F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0)))
 
 
+def swap(entries: Column, others: Column) -> tuple[Column, Column]:
+    """Two columns of entries, each in the place of the other."""
+    return others, entries
+
+
 def clear(entries: Column) -> Column:
     return F.slice(entries, 1, 0)
 

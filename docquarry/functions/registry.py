@@ -1,7 +1,13 @@
-"""Registration of all functions for SQL."""
+"""Registration of all functions for SQL.
+
+json_valid, json_parse, json_print and json_patch take their options as one more argument, a JSON object:
+json_parse(doc, '{"strict": false}').
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -40,13 +46,23 @@ def _set(x, name, item, overwrite):
     return c.compact(x)
 
 
-def _patch(doc, steps):
+@functools.lru_cache(256)
+def _options(text: str | None) -> dict:
+    """Options by name from a JSON object, as the column function of that name takes them."""
+    return {k: int(v) if isinstance(v, c.Decimal) else v for k, v in (c.parse(text) if text else ())}
+
+
+def _printed(doc, options=None):
+    return _or_null(_strict(doc), lambda v: c.printer.to_text(v, c.printer.Style(**{"pretty": True} | _options(options))))
+
+
+def _patch(doc, steps, options=None):
     value, steps = _strict(doc), _strict(steps)
     if value is pointer.NOTHING:
         return None
     if steps is pointer.NOTHING:
         return {"ok": False, "results": [patch.INVALID], "doc": c.compact(value)}
-    ok, results, after = patch.patch(value, steps)
+    ok, results, after = patch.patch(value, steps, **_options(options))
     return {"ok": ok, "results": results, "doc": c.compact(after)}
 
 
@@ -67,23 +83,61 @@ def _unescape(text):
         return None
 
 
+def _get_or_add(x, name, item):
+    if not isinstance(x, Members) or item is pointer.NOTHING or name is None:
+        return pointer.NOTHING
+    if (at := x.find(name)) < 0:
+        x.append((name, item))
+    return {"value": c.compact(x[at][1]), "doc": c.compact(x)}
+
+
+def _replaced(x, ptr, item):
+    tokens = None if ptr is None else c._tokens(ptr)
+    if tokens is None or item is pointer.NOTHING or pointer.find(x, tokens) is pointer.NOTHING:
+        return pointer.NOTHING
+    return c.compact(c._replaced(x, tokens, item))
+
+
+def _read(text, options):
+    error = _error(text, options)
+    return {"doc": c.compact(c.parse(text, **options)), "error": None} if error["code"] == "ok" else {"doc": None, "error": error}
+
+
+def _unusable(text):
+    try:
+        c.JsonSchema(text)
+    except c.InvalidSchema as e:
+        return {"what": e.what, "base_uri": e.base_uri, "pointer": e.pointer}
+    except c.ParseError as e:
+        return {"what": e.message, "base_uri": "", "pointer": ""}
+    return None
+
+
+def _verdict(doc, schema=None):
+    error = _error(doc)
+    if error["code"] != "ok":
+        return {"valid": False, "error": error["message"]}
+    unit = None if schema is None else c._schema(schema, ()).output(c.parse(doc), False)
+    return {"valid": True, "error": None} if unit is None or unit[0][1] else {"valid": False, "error": c.compact(unit)}
+
+
 def _unique(value, name):
     found = [v for k, v in value if k == name] if isinstance(value, Members) else []
     return found[0] if len(found) == 1 else pointer.NOTHING
 
 
 def _flat(value):
-    return [{"pointer": pointer.pointer_text(at), "type": model.type_name(x), "value": c.compact(x)} for at, x in pointer.walk(value)]
+    return [(pointer.pointer_text(at), model.type_name(x), c.compact(x)) for at, x in pointer.walk(value)]
 
 
 def _failures(value, schema):
-    return [{"instance_location": at, "keyword_location": keyword, "error": error} for at, keyword, error in c._schema(schema, ()).errors(value)]
+    return c._schema(schema, ()).errors(value)
 
 
 #: SQL name to (function of plain values, result type). Pointers, names and schemas are arguments here.
 SCALARS = {
-    "json_valid": (lambda d: _strict(d) is not pointer.NOTHING, c.BOOLEAN),
-    "json_parse": (lambda d: _or_null(_strict(d), c.compact), c.STRING),
+    "json_valid": (lambda d, options=None: c._parsed(d, _options(options)) is not pointer.NOTHING, c.BOOLEAN),
+    "json_parse": (lambda d, options=None: _or_null(c._parsed(d, _options(options)), c.compact), c.STRING),
     "json_compact": (lambda d: _or_null(_strict(d), c.compact), c.STRING),
     "json_relaxed": (lambda d: _or_null(c._parsed(d, {"strict": False}), c.compact), c.STRING),
     "json_get": (lambda d, p: _or_null(_found(d, p), c.compact), c.STRING),
@@ -93,13 +147,13 @@ SCALARS = {
     "json_size": (lambda d, p: _or_null(_found(d, p), lambda v: len(v) if isinstance(v, list) else pointer.NOTHING), c.INTEGER),
     "json_has": (lambda d, n: _or_null(_strict(d), lambda v: v.find(n) >= 0 if isinstance(v, Members) else pointer.NOTHING), c.BOOLEAN),
     "json_keys_array": (lambda d: _or_null(_strict(d), lambda v: [n for n, _ in v] if isinstance(v, Members) else pointer.NOTHING), c.STRINGS),
-    "json_entries": (lambda d: _or_null(_strict(d), lambda v: [{"name": n, "value": c.compact(x)} for n, x in v] if isinstance(v, Members) else pointer.NOTHING), c.ENTRIES),
+    "json_entries": (lambda d: _or_null(_strict(d), lambda v: [(n, c.compact(x)) for n, x in v] if isinstance(v, Members) else pointer.NOTHING), c.ENTRIES),
     "json_elements": (lambda d: _or_null(_strict(d), lambda v: [c.compact(x) for x in v] if _is_array(v) else pointer.NOTHING), c.STRINGS),
     "json_flat": (lambda d: _or_null(_strict(d), _flat), c.PATHS),
     "json_as_string": (lambda d, p: _or_null(_found(d, p), lambda v: v if isinstance(v, str) else pointer.NOTHING), c.STRING),
     "json_as_double": (lambda d, p: _or_null(_found(d, p), lambda v: float(v) if model.type_name(v) == "number" else pointer.NOTHING), c.DOUBLE),
     "json_as_boolean": (lambda d, p: _or_null(_found(d, p), lambda v: v if isinstance(v, bool) else pointer.NOTHING), c.BOOLEAN),
-    "json_print": (lambda d: _or_null(_strict(d), lambda v: c.printer.to_text(v, c.printer.Style(pretty=True))), c.STRING),
+    "json_print": (_printed, c.STRING),
     "json_canonical": (lambda d: _or_null(_strict(d), model.canonical), c.STRING),
     "json_equals": (_two(model.equal), c.BOOLEAN),
     "json_compare": (_two(model.compare), c.INTEGER),
@@ -109,7 +163,11 @@ SCALARS = {
     "pointer_unescape": (lambda t: t.replace("~1", "/").replace("~0", "~"), c.STRING),
     "pointer_from_tokens": (lambda tokens: pointer.pointer_text([t for t in tokens if t is not None]), c.STRING),
     "json_default": (lambda n: c.compact(model.default_of(n)), c.STRING),
-    "json_add": (_two(lambda x, pair: _set(x, pair[0], pair[1], True) if _is_array(pair) and len(pair) == 2 and isinstance(pair[0], str) else pointer.NOTHING), c.STRING),
+    "json_add": (lambda d, n, v, overwrite=True: _or_null(_strict(d), lambda x: pointer.NOTHING if n is None or (item := _strict(v)) is pointer.NOTHING else _set(x, n, item, overwrite is not False)), c.STRING),
+    "json_get_or_add": (lambda d, n, v="null": _or_null(_strict(d), lambda x: _get_or_add(x, n, _strict(v))), T.StructType([T.StructField("value", c.STRING), T.StructField("doc", c.STRING)])),
+    "json_set": (lambda d, p, v: _or_null(_strict(d), lambda x: _replaced(x, p, _strict(v))), c.STRING),
+    "json_set_type": (lambda d, p, t: _or_null(_strict(d), lambda x: c.compact(x) if (f := _found(d, p)) is not pointer.NOTHING and model.type_name(f) == t else _replaced(x, p, model.default_of(t))), c.STRING),
+    "json_read": (lambda d, options=None: _read(d, _options(options)), c.READ),
     "json_append": (_two(lambda x, item: c.compact([*x, item]) if _is_array(x) else pointer.NOTHING), c.STRING),
     "json_remove_key": (lambda d, n: _or_null(_strict(d), lambda v: c.compact(Members(m for m in v if m[0] != n)) if isinstance(v, Members) else pointer.NOTHING), c.STRING),
     "json_remove_index": (lambda d, i: _or_null(_strict(d), lambda v: c.compact([x for k, x in enumerate(v) if k != i]) if _is_array(v) else pointer.NOTHING), c.STRING),
@@ -118,12 +176,14 @@ SCALARS = {
     "json_patch": (_patch, c.PATCHED),
     "json_schema_valid": (lambda d, s: _or_null(_strict(d), lambda v: c._schema(s, ()).is_valid(v)), c.BOOLEAN),
     "json_schema_validate": (lambda d, s: _or_null(_strict(d), lambda v: {"valid": (u := c._schema(s, ()).output(v))[0][1], "output": c.compact(u)}), c.VALIDATED),
+    "json_schema_error": (_unusable, c.UNUSABLE),
+    "json_verdict": (_verdict, T.StructType([T.StructField("valid", c.BOOLEAN), T.StructField("error", c.STRING)])),
     "json_schema_failures": (lambda d, s: _or_null(_strict(d), lambda v: _failures(v, s)), c.FAILURES),
 }
 
 
 def register_all(spark: SparkSession) -> None:
-    """Makes every function known to spark.sql under its name, but json_from, which takes any type, and those of entries: they are native columns and have no SQL form."""
+    """Makes every function known to spark.sql under its name, but json_from, which takes any type, json_apply, which takes steps, and those of entries, which are native columns."""
     for name, (function, returns) in SCALARS.items():
         spark.udf.register(name, c.kernel_udf(function, returns))
     error = c.kernel_udf(_error, c.ERROR)
@@ -133,9 +193,9 @@ def register_all(spark: SparkSession) -> None:
         spark.udtf.register(name, function)
 
 
-def _error(text):
+def _error(text, options=None):
     try:
-        c.parse(text)
+        c.parse(text, **(options or {}))
     except c.ParseError as e:
         return {"code": e.code, "row": e.row, "col": e.col, "message": e.message}
     return {"code": "ok", "row": 0, "col": 0, "message": "Ok."}

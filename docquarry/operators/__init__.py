@@ -12,23 +12,21 @@ from ..kernel import patch as kernel_patch
 
 def view(df: DataFrame, doc: str, pointer: str = "", type: str | None = None, out: str = "view", **style) -> DataFrame:
     """df with the printed value that pointer finds; with type, only where the value is of that type."""
-    shown = c.json_print(doc, ptr=pointer, **style)
-    df = df.withColumn(out, shown)
-    return df if type is None else df.where(c.json_is_type(doc, type, pointer))
+    if type is None:
+        return df.withColumn(out, c.json_print(doc, ptr=pointer, **style))
+    return df.withColumn(out, c.json_print(doc, ptr=pointer, of_type=type, **style)).where(F.col(out).isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores, if it comes in fewer parts than there are cores: so it is at most so many parts that move. A
+    file with one row group would otherwise keep a single core busy, however dear the functions on its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def verify(df: DataFrame, doc: str, schema=None, references=(), out: str = "verdict", **options) -> DataFrame:
     """df with struct(valid, error): the syntax of each document, and its fit to a schema if there is one."""
-    error = c.json_parse_error(doc, **options)
-    df = df.withColumn("_error", error)
-    good = F.col("_error.code") == "ok"
-    if schema is None:
-        message = F.when(~good, F.col("_error.message"))
-    else:
-        df = df.withColumn("_unit", c.json_schema_validate(doc, schema, references=references, **options))
-        message = F.when(~good, F.col("_error.message")).when(~F.col("_unit.valid"), F.col("_unit.output"))
-        good = good & F.coalesce(F.col("_unit.valid"), F.lit(False))
-    return df.withColumn(out, F.when(F.col(doc).isNotNull(), F.struct(good.alias("valid"), message.alias("error")))).drop("_error", "_unit")
+    return df.withColumn(out, c.json_verdict(doc, schema, references, **options))
 
 
 def verdict_by(df: DataFrame, verdict: str, *keys: str) -> DataFrame:
@@ -53,9 +51,9 @@ def elements(df: DataFrame, doc: str, pointer: str = "") -> DataFrame:
     return df.select("*", F.posexplode(c.json_elements(doc, pointer)).alias("place", "value"))
 
 
-def flatten(df: DataFrame, doc: str) -> DataFrame:
-    """A row for the document and each value inside it: the columns of df, with pointer, type and value."""
-    return df.select("*", F.explode(c.json_flat(doc)).alias("_at")).select(*df.columns, "_at.pointer", "_at.type", "_at.value")
+def flatten(df: DataFrame, doc: str, scalars: bool = False) -> DataFrame:
+    """A row for the document and each value inside it, or for its scalars alone: the columns of df, with pointer, type and value."""
+    return df.select("*", F.explode(c.json_flat(doc, scalars)).alias("_at")).select(*df.columns, "_at.pointer", "_at.type", "_at.value")
 
 
 def tokens(df: DataFrame, doc: str, strict: bool = True) -> DataFrame:

@@ -28,9 +28,7 @@ def parsed_lines(lines: DataFrame, mode: str = "PERMISSIVE", **options) -> DataF
     """line, doc and error of each line (column value). DROPMALFORMED leaves malformed lines out; FAILFAST fails on the first."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    error = c.json_parse_error("value", **options)
-    out = lines.select(F.col("value").alias("line"), c.json_parse("value", **options).alias("doc"), error.alias("error"))
-    out = out.withColumn("error", F.when(F.col("error.code") != "ok", F.col("error")))
+    out = lines.select(F.col("value").alias("line"), c.json_read("value", **options).alias("_read")).select("line", "_read.doc", "_read.error")
     if mode == "DROPMALFORMED":
         return out.where("error is null")
     if mode == "FAILFAST":

@@ -1,5 +1,6 @@
 import pytest
 
+from docquarry.kernel.model import Members
 from docquarry.kernel.parser import parse
 from docquarry.kernel.printer import to_text
 from docquarry.kernel.schema import InvalidSchema, JsonSchema
@@ -67,10 +68,40 @@ def test_invalid_schemas(schema):
 
 
 def test_output_unit():
-    assert to_text(JsonSchema('{"type":"object","required":["a"]}').output(parse("{}"))) == '{"valid":false,"instanceLocation":"","keywordLocation":"","errors":[{"valid":false,"instanceLocation":"","keywordLocation":"/required","error":"Object missing property \'a\'."}]}'
+    assert to_text(JsonSchema('{"type":"object","required":["a"]}').output(parse("{}"))) == '{"valid":false,"instanceLocation":"","keywordLocation":"","errors":[{"valid":false,"instanceLocation":"","keywordLocation":"/required","error":"member \\"a\\" is missing"}]}'
     unit = dict(JsonSchema('{"$ref":"#/$defs/x","$defs":{"x":{"maximum":1}}}').output(parse("2")))
     assert dict(dict(unit["errors"][0])["errors"][0])["absoluteKeywordLocation"] == "xri://root-schema#/$defs/x/maximum"
-    assert JsonSchema('{"properties":{"a":{"items":{"minimum":2}}}}').errors(parse('{"a":[1,2,0]}')) == [("/a/0", "/properties/a/items/minimum", "Number less than 2"), ("/a/2", "/properties/a/items/minimum", "Number less than 2")]
+    assert JsonSchema('{"properties":{"a":{"items":{"minimum":2}}}}').errors(parse('{"a":[1,2,0]}')) == [("/a/0", "/properties/a/items/minimum", "below the minimum of 2"), ("/a/2", "/properties/a/items/minimum", "below the minimum of 2")]
+
+
+def test_every_keyword_says_what_fails():
+    cases = {
+        "false": "1", '{"allOf":[false]}': "1", '{"anyOf":[false]}': "1", '{"oneOf":[true,true,true]}': "1", '{"oneOf":[false]}': "1", '{"not":true}': "1", '{"dependentSchemas":{"a":false}}': '{"a":1}', '{"prefixItems":[false]}': "[1]", '{"items":false}': "[1]", '{"contains":false}': "[1]",
+        '{"contains":true,"maxContains":1}': "[1,2]", '{"contains":true,"minContains":3}': "[1,2]", '{"properties":{"a":false}}': '{"a":1}', '{"patternProperties":{"a":false}}': '{"a":1}', '{"additionalProperties":false}': '{"a":1}', '{"propertyNames":false}': '{"a":1}', '{"unevaluatedItems":false}': "[1]",
+        '{"unevaluatedProperties":false}': '{"a":1}', '{"type":["null","string"]}': "1", '{"enum":[2]}': "1", '{"const":2}': "1", '{"multipleOf":2}': "1", '{"maximum":0}': "1", '{"exclusiveMaximum":1}': "1", '{"minimum":2}': "1", '{"exclusiveMinimum":1}': "1", '{"maxLength":0}': '"a"', '{"minLength":2}': '"a"',
+        '{"pattern":"b"}': '"a"', '{"maxItems":0}': "[1]", '{"minItems":2}': "[1]", '{"uniqueItems":true}': "[1,1.0]", '{"maxProperties":0}': '{"a":1}', '{"minProperties":2}': '{"a":1}', '{"required":["b"]}': '{"a":1}', '{"dependentRequired":{"a":["b"]}}': '{"a":1}',
+    }
+    said = [JsonSchema(schema)._unit(parse(value), True) for schema, value in cases.items()]
+    texts = [(unit.error or next(u.error for u in unit.errors)) for unit in said]
+    assert all(texts) and len(set(texts)) == len(cases) and not any("{}" in t for t in texts)
+
+
+def test_classes_with_doubled_operators():
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        for pattern, fits, misses in (("^[a&&b]$", "&", "c"), ("^[a||b]$", "|", "c"), ("^[+--]$", ",", "a"), ("^[[a]$", "[", "b"), ("^[a~~]$", "~", "b")):
+            assert JsonSchema(f'{{"pattern":"{pattern}"}}').is_valid(fits) and not JsonSchema(f'{{"pattern":"{pattern}"}}').is_valid(misses)
+
+
+def test_own_applicators():
+    """A keyword with a schema of its own: at least one member's value meets it."""
+    some = {"someMember": lambda x, fits: None if not isinstance(x, Members) or any(fits(v) for _, v in x) else "no member fits"}
+    loaded = JsonSchema('{"someMember":{"$ref":"#/$defs/n"},"$defs":{"n":{"type":"number"}}}', applicators=some)
+    assert loaded.is_valid(parse('{"a":"x","b":1}')) and not loaded.is_valid(parse('{"a":"x"}')) and loaded.errors(parse('{"a":"x"}')) == [("", "/someMember", "no member fits")]
+    with pytest.raises(InvalidSchema):
+        JsonSchema('{"someMember":3}', applicators=some)
 
 
 def test_references():
