@@ -141,7 +141,8 @@ def sampled(rows: DataFrame, key: str, size: int, seed: int, count: int | None =
     """
     rows = rows.withColumn("turn", F.xxhash64(key, F.lit(seed)))
     count = rows.count() if count is None else count
-    if count > 2 * size:
-        # twice as many as wanted are expected below this bound
-        rows = rows.where(F.col("turn") < F.lit(-(1 << 63) + (1 << 64) * 2 * size // count))
+    # so many are expected below the bound that fewer than wanted are out of the question
+    enough = 2 * size + 40
+    if count > enough:
+        rows = rows.where(F.col("turn") < F.lit(-(1 << 63) + (1 << 64) * enough // count))
     return rows.orderBy("turn", *rows.drop("turn").columns).limit(size)

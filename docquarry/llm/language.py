@@ -4,18 +4,18 @@ A text is cut into windows of WINDOW bytes. In each, one recurrent layer reads t
 states together label every position with the probability of each language. The probabilities of all positions of a text
 are averaged: the most probable language is the prediction, and its average the score.
 
-Training reads at most SAMPLE rows with a language, chosen by a hash of their ids, and draws windows from anywhere in their
-whole texts; languages that the sample lacks are not learned.
+Training reads at most SAMPLE rows with a language, as many of each language where it has them, chosen by a hash of their
+ids, and draws windows from anywhere in their whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, pieces, sampled, slices
+from .common import fitted, pieces, slices
 
 #: Rows that training uses at most.
 SAMPLE = 6000
@@ -235,10 +235,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _sampled(rows: DataFrame, size: int) -> DataFrame:
+    """At most `size` of rows (doc_id, text, lang), the first of each language by a hash of the id (column `turn`): all
+    languages have the same part of `size`, and of more than `size` languages the most frequent ones have a row each.
+
+    Rows whose hash is far from the first ones of their language are left out before any are put in order.
+    """
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(size).collect()
+    part = size // max(1, len(counts))
+    # so many are expected below a language's bound that fewer than wanted are out of the question
+    enough = 2 * part + 40
+    bounds = [(r["lang"], None if r["rows"] <= enough else -(1 << 63) + (1 << 64) * enough // r["rows"]) for r in counts]
+    bounds = rows.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    near = rows.withColumn("turn", F.xxhash64("doc_id", F.lit(SEED))).join(F.broadcast(bounds), "lang").where("bound is null or turn < bound").drop("bound")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id", "text"))
+    return near.withColumn("place", place).where(F.col("place") <= part).drop("place")
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from rows that have a language and text and are not held out: at most `sample` of them."""
     rows = documents.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = sampled(rows.where(~held_out(F.col("doc_id"))), "doc_id", sample, SEED)
+    rows = _sampled(rows.where(~held_out(F.col("doc_id"))), sample)
 
     def fit_rows(found):
         found.sort(key=lambda row: (row["turn"], row["doc_id"] is None, row["doc_id"] or 0, row["lang"], row["text"]))
@@ -274,6 +291,7 @@ def labelled(documents: DataFrame, network: Network) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of documents. Without any language to learn, all are und."""
+    """doc_id, held_out, lang_pred and score of each row of documents. Without any language to learn, all are und, as null texts
+    and those without a letter always are; repeated rows have a row each. Further columns, of any names, are ignored."""
     out = labelled(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(documents))
     return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
