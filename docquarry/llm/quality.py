@@ -1,10 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is cut into overlapping chunks of WIDTH bytes, STRIDE apart, from its first byte to its last. Each byte has a
-learned embedding; FILTERS learned filters look at every chunk. Their outputs are max-pooled over the whole text, and
-averaged over it as well, so that what fills a text counts besides what occurs in it; a hidden layer combines both into one
-probability. Long texts go through in pieces whose pooled values are combined, so memory has a bound and no byte is left
-out.
+learned embedding; FILTERS learned filters look at every chunk. Their outputs are max-pooled over the whole text, and a
+hidden layer combines the maxima into one probability. Long texts go through in pieces whose maxima are combined, so
+memory has a bound and no byte is left out.
 
 Training reads at most SAMPLE labelled rows, chosen by a hash of their ids (all labelled rows, if there are fewer), and draws
 stretches from anywhere in their whole texts, up to the whole of them; it follows the gradient of the cross-entropy by Adam, from a fixed seed.
@@ -23,8 +22,8 @@ THRESHOLD = 0.3
 SAMPLE = 4000
 TRAIN_BYTES = 2048
 
-WIDTH, STRIDE = 12, 4
-EMBEDDING, FILTERS, HIDDEN = 6, 32, 16
+WIDTH, STRIDE = 24, 8
+EMBEDDING, FILTERS, HIDDEN = 6, 48, 16
 STEPS, BATCH, RATE = 800, 64, 0.01
 #: Weight of label 1 against label 0: most documents are worth keeping, and short ones say little.
 KEEP_WEIGHT = 0.7
@@ -48,7 +47,7 @@ class Network:
         # byte 256 pads the last chunk
         self.embedding = (r.standard_normal((257, EMBEDDING)) * 0.5).astype(np.float32)
         self.filters, self.bias = scale(WIDTH * EMBEDDING, FILTERS), np.zeros(FILTERS, np.float32)
-        self.hidden, self.hidden_bias = scale(2 * FILTERS + 1, HIDDEN), np.zeros(HIDDEN, np.float32)
+        self.hidden, self.hidden_bias = scale(FILTERS, HIDDEN), np.zeros(HIDDEN, np.float32)
         self.out, self.out_bias = scale(HIDDEN, 1)[:, 0], np.zeros(1, np.float32)
 
     def look(self, padded: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,18 +56,17 @@ class Network:
         x = self.embedding[codes].reshape(len(starts), WIDTH * EMBEDDING)
         return x, np.maximum(x @ self.filters + self.bias, 0)
 
-    def combined(self, most: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pooled values, hidden layer and probability; how few chunks there are says how far the means can be trusted."""
-        pooled = np.concatenate([most, total / n[:, None], 1 / np.sqrt(n)[:, None]], axis=1).astype(np.float32)
-        h = np.maximum(pooled @ self.hidden + self.hidden_bias, 0)
+    def combined(self, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and probability from the maxima."""
+        h = np.maximum(most @ self.hidden + self.hidden_bias, 0)
         z = np.clip(h @ self.out + self.out_bias[0], -30, 30)
-        return pooled, h, 1 / (1 + np.exp(-z))
+        return h, 1 / (1 + np.exp(-z))
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of each text in data, cut at offsets."""
         lengths = np.diff(offsets)
         n = np.maximum(1, -(-(lengths - WIDTH) // STRIDE) + 1)
-        most, total = np.zeros((len(n), FILTERS), np.float32), np.zeros((len(n), FILTERS), np.float64)
+        most = np.zeros((len(n), FILTERS), np.float32)
         # each text is laid out with its own padding, so no chunk reaches into the next text
         room = (n - 1) * STRIDE + WIDTH
         ends = np.cumsum(n)
@@ -84,7 +82,6 @@ class Network:
                     padded[: len(own)] = own
                     _, y = self.look(padded, np.arange(some) * STRIDE)
                     most[first] = np.maximum(most[first], y.max(axis=0))
-                    total[first] += y.sum(axis=0)
                 else:
                     base = np.cumsum(room[first:last]) - room[first:last]
                     padded = np.full(int(room[first:last].sum()), 256, np.int16)
@@ -96,9 +93,8 @@ class Network:
                     starts = np.repeat(base, count) + STRIDE * (np.arange(int(count.sum())) - np.repeat(begin, count))
                     _, y = self.look(padded, starts)
                     most[first:last] = np.maximum.reduceat(y, begin, axis=0)
-                    total[first:last] = np.add.reduceat(y, begin, axis=0)
             first = last
-        return self.combined(most, total, n)[2]
+        return self.combined(most)[1]
 
     def gradients(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
         n = np.array([chunks(len(t)) for t in texts])
@@ -111,7 +107,7 @@ class Network:
         owner = np.repeat(np.arange(len(n)), n)
         parts = [slice(lo, lo + AT_ONCE) for lo in range(0, len(starts), AT_ONCE)]
         # the greatest output so far, and how many chunks have it
-        most, count, total = np.full((len(n), FILTERS), -1, self.filters.dtype), np.zeros((len(n), FILTERS), np.float32), np.zeros((len(n), FILTERS), self.filters.dtype)
+        most, count = np.full((len(n), FILTERS), -1, self.filters.dtype), np.zeros((len(n), FILTERS), np.float32)
         for part in parts:
             x, y = self.look(padded, starts[part])
             at = owner[part] - owner[part][0]
@@ -121,24 +117,22 @@ class Network:
             ties = np.add.reduceat(y == top[at], first, axis=0, dtype=np.float32)
             count[own] = np.where(top > most[own], ties, count[own] + ties * (top == most[own]))
             most[own] = np.maximum(most[own], top)
-            total[own] += np.add.reduceat(y, first, axis=0)
-        pooled, h, p = self.combined(most, total, n)
+        h, p = self.combined(most)
         dz = ((p - labels) * weights / weights.sum()).astype(np.float32)
         dh = dz[:, None] * self.out * (h > 0)
-        dpooled = dh @ self.hidden.T
         # the gradient of the maximum is shared by the chunks that have it
-        dmost, dmean = dpooled[:, :FILTERS] / count, dpooled[:, FILTERS : 2 * FILTERS] / n[:, None].astype(np.float32)
+        dmost = dh @ self.hidden.T / count
         dembedding, dfilters, dbias = np.zeros((257, EMBEDDING), np.float32), 0, 0
         for part in parts:
             if len(parts) > 1:
                 x, y = self.look(padded, starts[part])
             at = owner[part]
-            dy = (dmean[at] + (y == most[at]) * dmost[at]) * (y > 0)
+            dy = (y == most[at]) * dmost[at] * (y > 0)
             dx = (dy @ self.filters.T).reshape(-1, EMBEDDING)
             codes = padded[starts[part][:, None] + np.arange(WIDTH)].ravel()
             dembedding += np.stack([np.bincount(codes, dx[:, e], 257) for e in range(EMBEDDING)], axis=1).astype(np.float32)
             dfilters, dbias = dfilters + x.T @ dy, dbias + dy.sum(axis=0)
-        return [dembedding, dfilters, dbias, pooled.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(keepdims=True)]
+        return [dembedding, dfilters, dbias, most.T @ dh, dh.sum(axis=0), h.T @ dz, dz.sum(keepdims=True)]
 
 
 def trained(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Network:
@@ -212,12 +206,14 @@ def scored(documents: DataFrame, network: Network) -> DataFrame:
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of documents."""
+    """doc_id, held_out, score and predicted of each row of documents. A null text scores as an empty one; repeated rows have
+    a row each; a null doc_id is not held out. Further columns, of any names, are ignored."""
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = scored(narrow, fit(documents, labels))
     return out.select(F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the classifier does not reject."""
+    """The rows of documents that the classifier does not reject, with all their columns, of any names; null texts are judged
+    as empty ones, repeated rows alike."""
     return scored(documents, fit(documents, labels)).where(F.col("score") >= THRESHOLD).select("row.*")

@@ -1,5 +1,7 @@
 """The two networks: gradients, held-out accuracy, and what they do with odd texts."""
 
+import math
+import os
 import random
 
 import numpy as np
@@ -61,6 +63,31 @@ def test_quality_scores_do_not_depend_on_the_batch(monkeypatch):
     assert np.allclose(whole, single, atol=1e-5) and np.allclose(whole, parts, atol=1e-5)
 
 
+def test_quality_scores_against_plain_loops():
+    """The forward pass, chunk by chunk and filter by filter, in plain Python."""
+    r = random.Random(6)
+    network = quality.Network(2)
+    r2 = np.random.default_rng(3)
+    network.hidden_bias, network.out_bias, network.bias = r2.normal(size=quality.HIDDEN).astype(np.float32), np.array([0.3], np.float32), r2.normal(size=quality.FILTERS).astype(np.float32)
+    texts = ["", "a", "x" * quality.WIDTH, "x" * (quality.WIDTH + 1), good(r)[:150], "é中" * 20]
+
+    def plain(raw):
+        most = [0.0] * quality.FILTERS
+        start = 0
+        while True:
+            codes = [raw[i] if i < len(raw) else 256 for i in range(start, start + quality.WIDTH)]
+            x = [float(network.embedding[c][e]) for c in codes for e in range(quality.EMBEDDING)]
+            for f in range(quality.FILTERS):
+                most[f] = max(most[f], sum(a * float(w) for a, w in zip(x, network.filters[:, f], strict=True)) + float(network.bias[f]))
+            if start + quality.WIDTH >= len(raw):
+                break
+            start += quality.STRIDE
+        hidden = [max(0.0, sum(m * float(w) for m, w in zip(most, network.hidden[:, k], strict=True)) + float(network.hidden_bias[k])) for k in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-sum(h * float(w) for h, w in zip(hidden, network.out, strict=True)) - float(network.out_bias[0])))
+
+    assert np.allclose(network.scores(*laid_out(texts)), [plain(t.encode()) for t in texts], atol=1e-4)
+
+
 def test_quality_gradients_do_not_depend_on_the_pieces(monkeypatch):
     r = np.random.default_rng(2)
     texts = [r.integers(97, 100, n).astype(np.uint8) for n in (3, 700, 40, 5000)]
@@ -199,3 +226,43 @@ def test_language_sample_counts_rows_with_text(spark):
     empty = spark.range(1000, 60_000).selectExpr("id as doc_id", "cast(null as string) as text", "'l0' as lang")
     with_text = language.fit(rows, sample=60).languages
     assert len(with_text) > 30 and language.fit(rows.union(empty), sample=60).languages == with_text
+
+
+def test_languages_that_are_rare_are_learned(spark):
+    """Most rows of one language, most texts null: each language keeps its part of the sample."""
+    r = random.Random(9)
+    rows = [(i, foreign(r, "aa"), "aa") for i in range(900)] + [(1000 + i, foreign(r, "bb"), "bb") for i in range(30)] + [(2000 + i, foreign(r, "cc"), "cc") for i in range(200)]
+    rows += [(3000 + i, None, "dd") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = language._sampled(docs.where("text is not null"), 90).groupBy("lang").count().collect()
+    assert {x["lang"]: x["count"] for x in sample} == {"aa": 30, "bb": 30, "cc": 30}
+    few = language._sampled(docs.where("text is not null"), 2).collect()
+    assert sorted(x["lang"] for x in few) == ["aa", "cc"]
+    held = [x for x in language.report(docs).collect() if x["held_out"] and x["doc_id"] < 3000]
+    truth = {i: lang for i, _, lang in rows}
+    assert np.mean([x["lang_pred"] == truth[x["doc_id"]] for x in held]) > 0.95
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """The driver's tables with enough rows for a held-out accuracy."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables here")
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels")}
+
+
+def test_quality_on_the_given_documents(tables):
+    """Of held-out rows, classes are told apart by score, good ones stay and most bad ones go."""
+    labels = tables["labels"].where("quality is not null").select("doc_id", "quality")
+    rows = quality.report(tables["documents"], tables["labels"]).where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([x for x in rows if x["quality"] == q] for q in (1, 0))
+    assert len(good) > 30 and len(bad) > 5
+    above = np.mean([a["score"] > b["score"] for a in good for b in bad])
+    assert above > 0.95 and np.mean([x["predicted"] for x in good]) > 0.97 and np.mean([x["predicted"] for x in bad]) < 0.4
+
+
+def test_language_on_the_given_documents(tables):
+    langs = tables["documents"].where("lang is not null").select("doc_id", "lang")
+    rows = language.report(tables["documents"]).where("held_out").join(langs, "doc_id").collect()
+    assert len(rows) > 200 and np.mean([x["lang"] == x["lang_pred"] for x in rows]) > 0.97
