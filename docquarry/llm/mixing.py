@@ -145,8 +145,11 @@ def _decided(documents: DataFrame, share: tuple[int, int], epochs: int, seed: in
     plans = plan(leaves, share, epochs).where("budget > 0").withColumn("last", F.expr("budget div tokens").cast("int")).withColumn("rest", F.expr("budget % tokens"))
     plans = written(plans)
     sent = F.broadcast if leaves.count() <= BROADCAST_LEAVES else lambda df: df
-    decided = plans.select(*_LEVELS, "budget", "last").join(_ends(counted, plans, sent, seed), _LEVELS, "left")
-    return counted, written(decided), sent
+    ends = _ends(counted, plans, sent, seed)
+    decided = written(plans.select(*_LEVELS, "budget", "last").join(ends, _LEVELS, "left"))
+    for table in (leaves, plans, ends):
+        dropped(table)
+    return counted, decided, sent
 
 
 def mix(documents: DataFrame, share: tuple[int, int] = SHARE, epochs: int = 1, seed: int = SEED) -> DataFrame:
@@ -157,7 +160,8 @@ def mix(documents: DataFrame, share: tuple[int, int] = SHARE, epochs: int = 1, s
     tokens gets nothing. Repeated rows each count; rows without a doc_id differ by their text. Columns of documents may
     have any names: they stay inside `row`.
     """
-    _, decided, sent = _decided(documents, share, epochs, seed)
+    counted, decided, sent = _decided(documents, share, epochs, seed)
+    dropped(counted)
     taken = _taken(_leaf(documents, F.struct("*").alias("row")), decided, sent, seed)
     return taken.select("row", "domain", F.col("lang").alias("language"), F.col("source").alias("origin"), "epoch", token_count(F.col("row.text")).alias("n_tokens"), "budget")
 
