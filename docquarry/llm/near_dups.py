@@ -215,7 +215,7 @@ def _by_blocks(groups: DataFrame) -> DataFrame:
     sizes = groups.groupBy("cluster", "component").agg(F.sum((~F.col("mixed")).cast("int")).alias("size"))
     largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component"))["component"].alias("largest"))
     outside = F.col("mixed") | (F.col("component") != F.col("largest"))
-    groups = groups.join(largest, "cluster").withColumn("outside", outside).withColumn("band", F.floor(F.log("n") / F.lit(np.log(4 / 3).item())).cast("int"))
+    groups = spread_join(groups, largest, "cluster", "inner").withColumn("outside", outside).withColumn("band", F.floor(F.log("n") / F.lit(np.log(4 / 3).item())).cast("int"))
     groups = written(groups.drop("largest"))
     # so many blocks that none holds more than about BLOCK groups, or as many values as BLOCK groups of 4096
     blocks = lambda of: F.ceil(F.greatest(F.sum(of) / BLOCK, F.sum(F.size("common") * of) / (BLOCK * 4096))).cast("int")
@@ -247,9 +247,10 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     linked through them. Work beyond lists is quadratic in the number of different common parts of a cluster at most, not
     in documents that share one.
     """
-    entries = members.select("rep", "n", "component", F.explode("full").alias("value"))
+    members = members.where(F.size("full") == F.col("n")).withColumn("which", F.xxhash64("full"))
+    entries = members.select("rep", "n", "component", "which", F.explode("full").alias("value"))
     held = entries.groupBy("value").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("value", "held")
-    shared = entries.join(held, "value").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
+    shared = entries.join(held, "value").groupBy("rep", "n", "component", "which").agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("shared"))
     room = F.size("shared") - F.ceil(F.col("n") * 0.75).cast("int") + 1
     shared = written(shared.where(room > 0).select("rep", "n", "component", "shared", F.slice("shared", F.lit(1), room).alias("first")))
 
@@ -265,16 +266,16 @@ def _rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     edges = groups.select(F.explode("first").alias("value"), "rep")
     hubs = edges.groupBy("value").agg(F.min("rep").alias("hub"))
     clusters = components(edges.join(hubs, "value").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    clustered = _labelled(groups.select("rep", "n", "component", "mixed", "common"), clusters, "cluster")
+    clustered = written(_labelled(groups.select("rep", "n", "component", "mixed", "common"), clusters, "cluster"))
     several = clustered.groupBy("cluster").agg(F.count("*").alias("size"), (F.max("mixed") | (F.min("component") < F.max("component"))).alias("open")).where("size > 1 and open").select("cluster")
-    met = _by_blocks(clustered.join(several, "cluster", "left_semi"))
+    met = _by_blocks(written(spread_join(clustered, several, "cluster", "inner")))
     # a group's own smallest class links the others that its common part alone makes similar
     own = groups.where("mixed").select(F.col("rep").alias("a"), (F.floor(7 * F.size("common") / 3) - F.col("n")).cast("long").alias("reach"))
     reach = met.where("reach >= 0").select("a", "reach").union(own).groupBy("a").agg(F.max("reach").alias("reach"))
     least = groups.where("mixed").select("p", "q", F.col("rep").alias("a")).join(reach, "a")
     within = rest.join(least, ["p", "q"]).where("n <= reach and rep <> a").select("a", F.col("rep").alias("b"))
     out = written(links.union(met.where("reach < 0").select("a", "b")).union(within))
-    for table in (shared, rest, groups, met):
+    for table in (shared, rest, groups, clustered, met):
         dropped(table)
     return out
 
@@ -306,7 +307,7 @@ def link(documents: DataFrame) -> DataFrame:
     stars = listed.join(hubs, "value").where(F.col("rep") > F.col("hub.rep")).where(_alike("n", "hub.n")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
     likely = written(_likely(stars, sketches))
     sets = _sets(rows, _ends(likely))
-    found = written(components(_confirmed(likely, sets)))
+    found = written(components(_confirmed(likely, sets).union(_same_ids(verdicts, prints))))
     dropped(sets)
 
     # lists that hold more than one component still
@@ -331,6 +332,14 @@ def link(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_ids(verdicts: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of documents whose rows have different texts."""
+    several = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p < q").select("doc_id")
+    own = verdicts.where("print is not null").join(several, "doc_id", "left_semi").select("doc_id", "print").distinct().join(prints, "print").select("doc_id", "rep").distinct()
+    least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return own.join(least, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 

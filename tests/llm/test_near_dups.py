@@ -71,6 +71,21 @@ def test_templates(spark, monkeypatch, small):
     assert collected(got) == brute(rows)
 
 
+@pytest.mark.parametrize("small", [0, 16])
+def test_rows_of_one_id_are_one_document(spark, monkeypatch, small):
+    """An id with several texts ties together what is similar to any of them."""
+    monkeypatch.setattr(near_dups, "SMALL", small)
+    r = random.Random(21)
+    one, two, three = (sentence(r, 40) for _ in range(3))
+    near = lambda text: " ".join(w if i != 20 else f"edit{r.randrange(99)}" for i, w in enumerate(text.split(" ")))
+    rows = [(50, one), (50, two), (7, near(one)), (8, near(two)), (9, three), (3, one), (60, near(three)), (60, ""), (70, None), (70, near(two))]
+    rows += [(100 + i, near(one)) for i in range(20)] + [(107, near(three)), (107, near(three))]
+    got = near_dups.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    texts = {i for i, _, c, _ in brute(rows) if c == 3}
+    assert {r["doc_id"] for r in got.where("component_id = 3 and n_shingles > 0").collect()} == {i for i in texts if i is not None}
+    assert sorted(x for x in collected(got) if x[1]) == sorted(x for x in brute(rows) if x[1])
+
+
 def test_repeated_ids_are_settled_by_content(spark):
     """Of rows with one doc_id the least by text stays, however the rows lie."""
     rows = [(1, "b c d e f g", "x"), (1, "a a a a a a", "y"), (1, "b c d e f g", "w"), (2, "b c d e f g", "z"), (3, None, None), (3, None, "q"), (None, "b c d e f g", "n")]
