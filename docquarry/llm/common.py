@@ -101,7 +101,7 @@ def texts(column) -> list[bytes | None]:
     return [None if null else raw[a:b] for a, b, null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), nulls.tolist(), strict=True)]
 
 
-def pieces(batch, most_bytes: int = 4 << 20):
+def pieces(batch, most_bytes: int = 2 << 20):
     """Parts of an Arrow batch of about most_bytes of text each, so that work arrays stay small; a row is never cut."""
     import pyarrow as pa
 
@@ -118,6 +118,19 @@ def pieces(batch, most_bytes: int = 4 << 20):
         start = end
 
 
+#: Bytes of an Arrow batch, about: what a task holds of its input at once, beside a single row however long.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(rows: DataFrame, function, kind) -> DataFrame:
+    """rows.mapInArrow in a session whose Arrow batches have about BATCH_BYTES at most: a smaller setting stays as it is."""
+    conf = rows.sparkSession.conf
+    if int(rows.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return rows.mapInArrow(function, kind)
+
+
 def fitted(rows: DataFrame, fit):
     """What fit(list of row dicts) returns, made in one task over a bounded sample of rows: its arrays stay off the driver until done."""
     import pickle

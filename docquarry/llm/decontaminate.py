@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import dropped, pieces, texts, written
+from .common import mapped, pieces, texts, written
 
 WINDOW = 13
 #: Benchmark text that one scan looks for; an item is not cut, so one item may be larger.
@@ -197,7 +197,8 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
         windows = spark.sparkContext.broadcast(Windows(items, window))
         if last:
             break
-        hits = rows.select(key.alias("_row"), "_text").withColumns(none).mapInArrow(_scanner(windows, only_hits=True), kind(T.StructType.fromDDL("p long, q long")))
+        hits = rows.select(key.alias("_row"), "_text").withColumns(none)
+        hits = mapped(hits, _scanner(windows, only_hits=True), kind(T.StructType.fromDDL("p long, q long")))
         hits = written(hits.select("_row", "_spans", "_items").dropDuplicates(["_row"]))
         earlier = hits if earlier is None else earlier.union(hits)
         windows.unpersist()
@@ -211,7 +212,7 @@ def _scanned(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
         keyed = bloom.marked(rows.withColumn("_key", key), F.struct("_key.*"), merged.select("_key"))
         clean, others = keyed.where("not _perhaps"), keyed.where("_perhaps")
         given = clean.select("_row", "_text").withColumns(none).union(others.join(merged, "_key", "left").select("_row", "_text", *[F.coalesce(n, e).alias(n) for n, e in none.items()]))
-    return given.mapInArrow(_scanner(windows, cutting), kind(rows.schema["_row"].dataType))
+    return mapped(given, _scanner(windows, cutting), kind(rows.schema["_row"].dataType))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, columns: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, pieces, slices
+from .common import fitted, mapped, pieces, slices
 
 #: Rows that training uses at most.
 SAMPLE = 6000
@@ -285,7 +285,7 @@ def labelled(documents: DataFrame, network: Network) -> DataFrame:
     has_letter = F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))
     rows = documents.select(F.struct(F.struct("*").alias("own"), has_letter.alias("has_letter")).alias("row"), F.when(has_letter, F.col("text")).otherwise(F.lit("")).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(network)
-    out = rows.mapInArrow(_labeller(shared), T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    out = mapped(rows, _labeller(shared), T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     letter = F.col("row.has_letter")
     return out.select(F.col("row.own").alias("row"), F.when(letter, F.col("lang_pred")).otherwise(F.lit("und")).alias("lang_pred"), F.when(letter, F.col("score")).otherwise(F.lit(0.0)).alias("score"))
 

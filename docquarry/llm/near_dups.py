@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import dropped, pieces, spread_join, texts, written
+from .common import dropped, mapped, pieces, spread_join, texts, written
 
 WORDS = 5
 #: Values that a sketch retains. With SHARE: at similarity 0.75, fewer than half of the union's bottom 64 are shared with probability under 1e-5.
@@ -134,7 +134,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, full) of the wanted classes, and of few others: texts are filtered where they lie and never shuffled."""
     some = bloom.marked(rows, F.col("doc_id"), wanted, MOST_BLOCKS).where("_perhaps").select("doc_id", "text")
-    return written(some.mapInArrow(_full, "rep long, full array<long>").distinct())
+    return written(mapped(some, _full, "rep long, full array<long>").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def link(documents: DataFrame) -> DataFrame:
     without a doc_id link to nothing, have no component_id and are kept. Further columns are ignored.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, print binary, sketch array<long>"))
+    sketched = written(mapped(rows, _sketches, "doc_id long, n_shingles long, print binary, sketch array<long>"))
     classes = sketched.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("c"))
     classes = written(classes.select("print", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n"), "c.sketch"))
     prints, verdicts = written(classes.select("print", "rep")), written(sketched.drop("sketch"))

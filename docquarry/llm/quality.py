@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, pieces, sampled, slices
+from .common import fitted, mapped, pieces, sampled, slices
 
 THRESHOLD = 0.3
 #: Labelled rows that training uses at most, and bytes up to which stretches are drawn at least; of a longer text, up to all of it.
@@ -202,7 +202,7 @@ def scored(documents: DataFrame, network: Network) -> DataFrame:
 
     rows = documents.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast(network)
-    return rows.mapInArrow(_scorer(shared), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return mapped(rows, _scorer(shared), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

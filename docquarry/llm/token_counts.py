@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import mapped, pieces, texts
 
 # fixed values: the public pre-token pattern of byte-level BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,4 +190,4 @@ def count_tokens(documents: DataFrame, file: str, limit: int = LIMIT) -> DataFra
     """
     merges = documents.sparkSession.sparkContext.broadcast(Merges(file))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_counter(merges, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(rows, _counter(merges, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
