@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -131,6 +131,22 @@ def mapped(rows: DataFrame, function, kind) -> DataFrame:
     return rows.mapInArrow(function, kind)
 
 
+#: Characters that training holds of a sampled text at most, and the stretches they come from where the text has more.
+HELD_CHARS, STRETCHES = 1 << 16, 16
+
+
+def held(text: Column, seed: int) -> Column:
+    """A text as training holds it: whole, or of more than HELD_CHARS characters so many, as STRETCHES stretches of one length
+    from end to end of the text, each at a hashed place of its own part. So a sample of rows is bounded in bytes too."""
+    each, length, turn = HELD_CHARS // STRETCHES, F.length(text).cast("long"), F.xxhash64(text, F.lit(seed))
+    stretches = []
+    for i in range(STRETCHES):
+        first, end = F.floor(length * i / STRETCHES), F.floor(length * (i + 1) / STRETCHES)
+        at = first + F.pmod(F.xxhash64(turn, F.lit(i)), F.greatest(end - first - each + 1, F.lit(1)))
+        stretches.append(F.substring(text, (at + 1).cast("int"), F.lit(each)))
+    return F.when(length > HELD_CHARS, F.concat(*stretches)).otherwise(text)
+
+
 def fitted(rows: DataFrame, fit):
     """What fit(list of row dicts) returns, made in one task over a bounded sample of rows: its arrays stay off the driver until done."""
     import pickle

@@ -5,7 +5,7 @@ states together label every position with the probability of each language. The
 are averaged: the most probable language is the prediction, and its average the score.
 
 Training reads at most SAMPLE rows with a language, as many of each language where it has them, chosen by a hash of their
-ids, and draws windows from anywhere in their whole texts.
+ids, and draws windows from anywhere in them (texts of over common.HELD_CHARS characters give it that many, from end to end).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fitted, mapped, pieces, slices
+from .common import fitted, held, mapped, pieces, slices
 
 #: Rows that training uses at most.
 SAMPLE = 6000
@@ -255,7 +255,7 @@ def _sampled(rows: DataFrame, size: int) -> DataFrame:
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Network:
     """A network from rows that have a language and text and are not held out: at most `sample` of them."""
     rows = documents.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = _sampled(rows.where(~held_out(F.col("doc_id"))), sample)
+    rows = _sampled(rows.where(~held_out(F.col("doc_id"))), sample).withColumn("text", held(F.col("text"), SEED))
 
     def fit_rows(found):
         found.sort(key=lambda row: (row["turn"], row["doc_id"] is None, row["doc_id"] or 0, row["lang"], row["text"]))

@@ -6,7 +6,8 @@ hidden layer combines the maxima into one probability. Long texts go through in
 memory has a bound and no byte is left out.
 
 Training reads at most SAMPLE labelled rows, chosen by a hash of their ids (all labelled rows, if there are fewer), and draws
-stretches from anywhere in their whole texts, up to the whole of them; it follows the gradient of the cross-entropy by Adam, from a fixed seed.
+stretches from anywhere in them, up to the whole of them (texts of over common.HELD_CHARS characters give it that many, from
+end to end); it follows the gradient of the cross-entropy by Adam, from a fixed seed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, mapped, pieces, sampled, slices
+from .common import fitted, held, mapped, pieces, sampled, slices
 
 THRESHOLD = 0.3
 #: Labelled rows that training uses at most, and bytes up to which stretches are drawn at least; of a longer text, up to all of it.
@@ -175,6 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Networ
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     # of rows that repeat an id, the first by text counts
     rows = rows.groupBy("doc_id", "quality", "turn").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("text", held(F.col("text"), SEED))
 
     def fit_rows(found):
         found.sort(key=lambda row: (row["turn"], row["doc_id"]))

@@ -9,7 +9,7 @@ import pytest
 from corpus_fixtures import collected
 from pyspark.sql import functions as F
 
-from docquarry.llm import language, quality
+from docquarry.llm import common, language, quality
 
 
 def good(r):
@@ -138,6 +138,22 @@ def test_quality_without_labels(spark, judged):
     assert quality.report(docs.where("false"), labels).collect() == []
 
 
+def test_sampled_texts_are_held_in_bounds(spark, monkeypatch):
+    """Short texts whole; of longer ones as many characters as the bound says, from every part of the text."""
+    monkeypatch.setattr(common, "HELD_CHARS", 64)
+    long = "".join(chr(0x4E00 + i) for i in range(1000))
+    rows = [(0, None), (1, ""), (2, "short é"), (3, long[:64]), (4, long[:65]), (5, long[:80]), (6, long)]
+    got = dict(spark.createDataFrame(rows, "i long, text string").select("i", common.held(F.col("text"), 3).alias("t")).collect())
+    assert [got[i] for i in range(4)] == [t for _, t in rows[:4]]
+    for i, text in rows[4:]:
+        each = 64 // common.STRETCHES
+        parts = [got[i][a : a + each] for a in range(0, 64, each)]
+        places = [text.index(part) for part in parts]
+        assert len(got[i]) == 64
+        for k, at in enumerate(places):
+            assert len(text) * k // common.STRETCHES <= at and at + each <= len(text) * (k + 1) // common.STRETCHES
+
+
 LETTERS = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "éèàçnopq"}
 
 
