@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernel import model, patch, pointer, printer
+from ..kernel import model, patch, pointer, printer, suites
 from ..kernel.model import Members
 from ..kernel.parser import ParseError, parse
 from ..kernel.schema import InvalidSchema, JsonSchema
@@ -592,6 +592,25 @@ def json_patch(doc, operations, rfc: bool = False, atomic: bool = False, ptr: st
     return _on_value(doc, patched_literal, PATCHED, **options)
 
 
+def json_patch_case(case, run_disabled: bool = False, rfc: bool = False, **options) -> Column:
+    """How a test case of patches (a document with doc, patch, and expected or error) comes out: passed, failed, disabled or
+    invalid. NULL for what is no document."""
+
+    def status(value):
+        return suites.patch_case(value, run_disabled, rfc)
+
+    return _on_value(case, status, STRING, **options)
+
+
+def json_schema_cases(group, run_disabled: bool = False, **options) -> Column:
+    """How each test of a group (a document with schema and tests, each with data and valid) comes out, as an array."""
+
+    def statuses(value):
+        return suites.schema_cases(value, run_disabled)
+
+    return _on_value(group, statuses, STRINGS, **options)
+
+
 def json_verdict(doc, schema=None, references=(), **options) -> Column:
     """struct(valid, error) of each text: whether it is a document and fits the schema, if there is one; error is the parse
     error's message, or the output unit up to the first failure."""

@@ -67,6 +67,18 @@ def schema_errors(df: DataFrame, doc: str, schema, references=()) -> DataFrame:
     return df.select("*", failures.alias("_f")).select(*df.columns, "_f.*")
 
 
+def patch_suite(df: DataFrame, suite: str, run_disabled: bool = False, rfc: bool = False) -> DataFrame:
+    """A row for each test case of a suite (an array of them): the columns of df, with place (from 0), case and status."""
+    cases = df.select("*", F.posexplode(c.json_elements(suite)).alias("place", "case"))
+    return cases.withColumn("status", c.json_patch_case("case", run_disabled, rfc))
+
+
+def schema_suite(df: DataFrame, suite: str, run_disabled: bool = False) -> DataFrame:
+    """A row for each test of a suite (an array of groups): the columns of df, with place of the group, test (both from 0) and status."""
+    groups = df.select("*", F.posexplode(c.json_elements(suite)).alias("place", "_group"))
+    return groups.select(*df.columns, "place", F.posexplode(c.json_schema_cases("_group", run_disabled)).alias("test", "status"))
+
+
 def differences(left: DataFrame, right: DataFrame, key: list[str], doc: str) -> DataFrame:
     """key, left, right and status (equal, changed, added, removed) of the documents of two tables."""
     a = left.select(*key, F.col(doc).alias("left"), c.json_canonical(doc).alias("_a"))

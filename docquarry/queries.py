@@ -516,6 +516,34 @@ def patch_fold(spark, d):
     return ops.fold_patches(docs, steps, "key", "seq")
 
 
+# suites of cases: six for each order or customer, whose outcome depends on its columns
+@query(
+    f"""select key, u.place::int as place, case u.place when 0 then case when cust % 2 = 0 then 'passed' else 'failed' end when 1 then case when status = 'O' then 'failed' else 'passed' end
+    when 2 then 'disabled' when 3 then 'invalid' when 4 then 'disabled' else case when cust % 5 = 0 then 'passed' else 'failed' end end as status
+    from {_O}, (select unnest([0, 1, 2, 3, 4, 5]) as place) u"""
+)
+def patch_suite(spark, d):
+    text = lambda *parts: F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    suite = text(
+        *['[{"doc":{"c":', F.col("cust"), '},"patch":[{"op":"add","path":"/even","value":true}],"expected":{"even":', F.when(F.col("cust") % 2 == 0, "true").otherwise("false"), ',"c":', F.col("cust"), "}},"],
+        *['{"doc":"', F.col("status"), '","patch":[{"op":"test","path":"","value":"O"}],"error":"another status"},'],
+        '{"doc":{},"patch":[],"disabled":true},{"doc":{},"patch":[{"op":"remove","path":"/a"}]},{"comment":"what follows"},',
+        *['{"doc":[', F.col("cust") % 5, '],"patch":[{"op":"test","path":"/0","value":0}]}]'],
+    )
+    return ops.patch_suite(orders(spark, d).withColumn("suite", suite), "suite").select("key", "place", "status")
+
+
+@query(
+    f"""select key, u.place::int as place, u.test::int as test, case when u.place = 1 then 'invalid' when u.test = 2 then 'disabled' when (nation >= 10) = (u.test = 0) then 'passed' else 'failed' end as status
+    from {_C}, (values (0, 0), (0, 1), (0, 2), (1, 0)) u(place, test)"""
+)
+def schema_suite(spark, d):
+    n = F.col("nation").cast("string")
+    tests = F.concat(F.lit('[{"data":'), n, F.lit(',"valid":true},{"data":'), n, F.lit(',"valid":false},{"data":0,"valid":true,"disabled":true}]'))
+    suite = F.concat(F.lit('[{"schema":{"minimum":10},"tests":'), tests, F.lit('},{"schema":{"minimum":"x"},"tests":[{"data":1,"valid":true}]}]'))
+    return ops.schema_suite(customers(spark, d).withColumn("suite", suite), "suite").select("key", "place", "test", "status")
+
+
 # schemas: keyword to (schema, SQL predicate over the base columns of customers)
 
 SCHEMAS = {
