@@ -55,35 +55,45 @@ def _window_hashes(hashed: np.ndarray, length: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of benchmark items (item_id or None, text), ready to be looked up; those of a null item_id name no item."""
+    """The windows of benchmark items (item_id or None, text), ready to be looked up; those of a null item_id name no item.
+
+    However many items have the same words, and however often an item repeats a window, a look-up meets it once."""
 
     def __init__(self, items, window: int = WINDOW):
-        self.ids: list[str] = []
-        joined, hashes, starts, ends, owners, lengths = [], [], [], [], [], []
+        known: dict[bytes, list[str]] = {}  # items of the same words are one: the words, and the ids of the items
+        hashes, starts, ends, owners, lengths = [], [], [], [], []
         at = 0
         for item, text in items:
             own = words(text)
             length = min(window, len(own))
             if not length:
                 continue
-            joined.append(b" ".join(own) + b" ")
-            ends_at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
-            found = _window_hashes(_word_hashes(own), length)
-            hashes.append(found)
-            starts.append(at + np.concatenate([[0], ends_at[:-1]])[: len(found)])
-            ends.append(at + ends_at[length - 1 :] - 1)
-            lengths.append(np.full(len(found), length, np.int16 if window < 1 << 15 else np.int32))
-            owners.append(np.full(len(found), -1 if item is None else len(self.ids), np.int32))
+            phrase = b" ".join(own)
+            if phrase not in known:
+                ends_at = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+                found = _window_hashes(_word_hashes(own), length)
+                hashes.append(found)
+                starts.append(at + np.concatenate([[0], ends_at[:-1]])[: len(found)])
+                ends.append(at + ends_at[length - 1 :] - 1)
+                lengths.append(np.full(len(found), length, np.int16 if window < 1 << 15 else np.int32))
+                owners.append(np.full(len(found), len(known), np.int32))
+                at += int(ends_at[-1])
+            ids = known.setdefault(phrase, [])
             if item is not None:
-                self.ids.append(str(item))
-            at += int(ends_at[-1])
+                ids.append(str(item))
         none = np.zeros(0, np.int64)
-        self.text = b"".join(joined)
+        self.text = b" ".join(known)
+        self.ids, self.of = list(chain.from_iterable(known.values())), np.cumsum([0, *map(len, known.values())])
         hashes = np.concatenate([none.astype(np.uint64), *hashes])
         order = np.argsort(hashes, kind="stable")
         take = lambda parts, kind: np.concatenate([none, *parts])[order].astype(kind)
         place = np.uint32 if at < 1 << 32 else np.uint64
         self.hashes, self.starts, self.ends, self.owners = hashes[order], take(starts, place), take(ends, place), take(owners, np.int32)
+        # a window that an item repeats is looked up once
+        again = np.flatnonzero((self.hashes[1:] == self.hashes[:-1]) & (self.owners[1:] == self.owners[:-1])) + 1
+        again = [k for k in again.tolist() if self._phrase(k) == self._phrase(k - 1)]
+        for name in ("hashes", "starts", "ends", "owners"):
+            setattr(self, name, np.delete(getattr(self, name), again))
         self.lengths = sorted({int(n[0]) for n in lengths})
         bits = 10
         while 1 << bits < len(self.hashes) * _TABLE_BITS:
@@ -97,7 +107,7 @@ class Windows:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ends = np.cumsum(sizes)
         hashed = _word_hashes(list(chain.from_iterable(found)))
-        out: dict[int, tuple[np.ndarray, set[str]]] = {}
+        out: dict[int, tuple[np.ndarray, set[int]]] = {}
         for length in self.lengths:
             looked = _window_hashes(hashed, length)
             at = np.flatnonzero(self.table[looked >> self.shift])
@@ -110,18 +120,20 @@ class Windows:
             for i, k, doc in zip(at[sure][inside].tolist(), first[sure][inside].tolist(), own[inside].tolist(), strict=True):
                 begin = i - int(ends[doc] - sizes[doc])
                 self._verified(found[doc], begin, length, k, doc, out)
-        return out
+        return {doc: (hit, {i for own in owners for i in self.ids[self.of[own] : self.of[own + 1]]}) for doc, (hit, owners) in out.items()}
+
+    def _phrase(self, k: int) -> bytes:
+        return self.text[int(self.starts[k]) : int(self.ends[k])]
 
     def _verified(self, own: list[bytes], begin: int, length: int, k: int, doc: int, out: dict) -> None:
         """Marks the words from `begin` on, if they are those of a window whose hash stands at k or behind it."""
         phrase, hit, looked = b" ".join(own[begin : begin + length]), False, self.hashes[k]
         while k < len(self.hashes) and self.hashes[k] == looked:
-            if self.text[int(self.starts[k]) : int(self.ends[k])] == phrase:
+            if self._phrase(k) == phrase:
                 hit = True
                 if doc not in out:
                     out[doc] = (np.zeros(len(own), bool), set())
-                if self.owners[k] >= 0:
-                    out[doc][1].add(self.ids[self.owners[k]])
+                out[doc][1].add(int(self.owners[k]))
             k += 1
         if hit:
             out[doc][0][begin : begin + length] = True

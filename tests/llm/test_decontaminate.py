@@ -117,3 +117,17 @@ def test_benchmark_rows_without_id_hit_words(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert got == {1: (20, 0, empty, True), 2: (0, 0, empty, False)}
     assert [r["doc_id"] for r in decontaminate.cleaned(docs, benchmark).collect()] == [2]
+
+
+def test_copies_of_items_and_repeated_windows_are_looked_up_once():
+    items = [(i, b"One two, three four") for i in range(5000)] + [(None, b"one two three four")]
+    items += [("long", b"la " * 5000), ("odd", b"la " * 20 + b"end")]
+    windows = decontaminate.Windows(items, 3)
+    # four words have two windows of three; "odd" adds two that end in "end"
+    assert len(windows.hashes) == 2 + 1 + 2
+    texts = [decontaminate.words(t) for t in (b"one two three", b"la " * 3000, b"x la la end", b"la la")]
+    found = windows.scan(texts)
+    assert sorted(found) == [0, 1, 2]
+    assert found[0][1] == {str(i) for i in range(5000)} and found[0][0].all()
+    assert found[1][1] == {"long", "odd"} and found[1][0].all()
+    assert found[2][1] == {"odd"} and found[2][0].tolist() == [False, True, True, True]
