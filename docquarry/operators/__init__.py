@@ -17,11 +17,15 @@ def view(df: DataFrame, doc: str, pointer: str = "", type: str | None = None, ou
     return df.withColumn(out, c.json_print(doc, ptr=pointer, of_type=type, **style)).where(F.col(out).isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores, if it comes in fewer parts than there are cores: so it is at most so many parts that move. A
-    file with one row group would otherwise keep a single core busy, however dear the functions on its rows are."""
+def spread(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """df dealt out in parts of about `rows` rows at most, at least one for each core, if it comes in fewer or larger ones. A file
+    with one row group would otherwise keep a single core busy, however dear the functions on its rows are, and its splits
+    are no measure: all but one are empty. So the parts are counted first, which reads none of the columns."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    counts = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
+    parts, total, most = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # whole rounds of all cores, so that none waits for a last round
+    return df.repartition(cores * max(1, -(-total // (rows * cores)))) if parts < cores or most > rows else df
 
 
 def verify(df: DataFrame, doc: str, schema=None, references=(), out: str = "verdict", **options) -> DataFrame:

@@ -699,6 +699,10 @@ def _files(spark) -> str:
     return f"{base.rstrip('/')}/docquarry-files/{uuid.uuid4().hex}"
 
 
+#: Files that one task writes.
+FILES = 1000
+
+
 def _lines(spark, d) -> DataFrame:
     t = _table(spark, d, "events")
     return t.select(F.concat(F.lit('{"id":'), "event_id", F.lit(',"type":"'), "event_type", F.lit('"'), F.when(F.col("event_id") % 5 == 0, "").otherwise("}")).alias("value"))
@@ -726,7 +730,8 @@ def lines_stream(spark, d):
 @query("select s_suppkey as key, '{\"name\":\"' || s_name || '\",\"balance\":' || s_nationkey || '}' as doc from supplier")
 def files_round_trip(spark, d):
     path = _files(spark)
-    t = _table(spark, d, "supplier").select(F.concat(F.lit('{\n "key": '), "s_suppkey", F.lit(',\n "name": "'), "s_name", F.lit('",\n "balance": '), "s_nationkey", F.lit("\n}")).alias("value"))
-    t.write.option("maxRecordsPerFile", 1).text(path)
-    docs = sources.read_documents(spark, f"{path}/*.txt").select("doc")
+    t = ops.spread(_table(spark, d, "supplier"), FILES).select(F.concat(F.lit('{\n "key": '), "s_suppkey", F.lit(',\n "name": "'), "s_name", F.lit('",\n "balance": '), "s_nationkey", F.lit("\n}")).alias("value"))
+    # each task moves its own files into place; the folder is this query's alone
+    t.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    docs = sources.read_documents(spark, path).select("doc")
     return docs.select(c.json_get("doc", "/key").cast("bigint").alias("key"), c.json_remove_key("doc", "key").alias("doc"))
