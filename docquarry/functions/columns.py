@@ -42,14 +42,17 @@ class TypeMismatch(TypeError):
     """A value is not of the type that was asked for."""
 
 
-def kernel_udf(function: Callable, returns: T.DataType, whole: bool = False):
-    """An Arrow UDF that calls function on the values of each row; NULL in the first column gives NULL, unless `whole`."""
+def kernel_udf(function: Callable, returns: T.DataType, whole: bool = False, read: Callable | None = None, once: bool = False):
+    """An Arrow UDF that calls function on the values of each row; NULL in the first column gives NULL, unless `whole`.
+    read makes values of the first column. once keeps it where it stands: Spark would else run it a second time in the
+    filters on what it gives, and below the shuffle that dealt the rows out."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     def run(*columns):
         import pyarrow as pa
 
-        first, *rest = (c.to_pylist() for c in columns)
+        first, *rest = columns
+        first, rest = read(first) if read else first.to_pylist(), [c.to_pylist() for c in rest]
         if rest:
             out = [None if x is None and not whole else function(x, *more) for x, *more in zip(first, *rest, strict=True)]
         else:
@@ -63,7 +66,8 @@ def kernel_udf(function: Callable, returns: T.DataType, whole: bool = False):
     import pyarrow as pa
 
     run.__annotations__ = {"columns": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, returns)
+    udf = F.arrow_udf(run, returns)
+    return udf.asNondeterministic() if once else udf
 
 
 def _listed(out: list, kind):
@@ -96,18 +100,71 @@ def _parsed(text, options: dict):
         return pointer.NOTHING
 
 
+#: Batches of up to this many bytes keep their values until the next one, for all functions on the same column.
+SHARED_BYTES = 2 << 20
+_shared: list = [None, None, None]  # the column of the batch, the options of its reading, its values
+
+
+def _values(column, options: dict):
+    """The value of each text of a batch, or NOTHING. Functions must leave values as they are, for others read them too."""
+    if _shared[0] is column and _shared[1] == options:
+        return _shared[2]
+    values = (_parsed(text, options) for text in column.to_pylist())
+    if column.nbytes <= SHARED_BYTES:
+        _shared[:] = None, None, None
+        values = list(values)
+        _shared[:] = column, options, values
+    return values
+
+
+def _source(doc, options: dict) -> tuple:
+    """The column of texts that doc is made of, the options of its reading, and the steps from its values to those of doc.
+    Texts of _text are not read again, so functions around one another print and parse once. Only for functions that print
+    or compare what they are given: printing makes 1.50 and -0 to 1.5 and 0."""
+    doc = _column(doc)
+    return (doc, options, ()) if options else vars(doc).get("_made_of", (doc, options, ()))
+
+
+def _stepped(value, steps: tuple):
+    for step in steps:
+        if value is pointer.NOTHING:
+            break
+        value = step(value)
+    return value
+
+
 def _on_value(doc, function: Callable, returns: T.DataType, *more, **options) -> Column:
     """function(value, ...) of each valid document; NOTHING becomes NULL."""
+    once = options.pop("once", False)
+    return _on_source((_column(doc), options, ()), function, returns, *more, once=once)
+
 
-    def run(text, *rest):
-        value = _parsed(text, options)
+def _on_source(source: tuple, function: Callable, returns: T.DataType, *more, once: bool = False) -> Column:
+    doc, options, steps = source
+
+    def run(value, *rest):
+        value = _stepped(value, steps)
         if value is pointer.NOTHING:
             return None
         out = function(value, *rest)
         return None if out is pointer.NOTHING else out
 
     run.__name__ = function.__name__
-    return kernel_udf(run, returns)(_column(doc), *map(_column, more))
+    return kernel_udf(run, returns, whole=True, read=functools.partial(_values, options=options), once=once)(doc, *map(_column, more))
+
+
+def _text(doc, step: Callable, **options) -> Column:
+    """The text of step(value) of each valid document; NOTHING becomes NULL."""
+
+    def text(value):
+        out = step(value)
+        return out if out is pointer.NOTHING else compact(out)
+
+    text.__name__ = step.__name__
+    doc, options, steps = source = _source(doc, options)
+    out = _on_source(source, text, STRING)
+    out._made_of = doc, options, (*steps, step)
+    return out
 
 
 @functools.lru_cache(1024)
@@ -178,8 +235,9 @@ def _error_of(e: ParseError) -> dict:
     return {"code": e.code, "row": e.row, "col": e.col, "message": e.message}
 
 
-def json_read(doc, **options) -> Column:
-    """struct(doc, error): what json_parse and json_parse_error say, from one reading; error is NULL for a valid document."""
+def json_read(doc, once: bool = False, **options) -> Column:
+    """struct(doc, error): what json_parse and json_parse_error say, from one reading; error is NULL for a valid document.
+    once: see kernel_udf."""
 
     def read(text):
         try:
@@ -187,7 +245,7 @@ def json_read(doc, **options) -> Column:
         except ParseError as e:
             return {"doc": None, "error": _error_of(e)}
 
-    return kernel_udf(read, READ)(_column(doc))
+    return kernel_udf(read, READ, once=once)(_column(doc))
 
 
 # access
@@ -196,9 +254,15 @@ def json_read(doc, **options) -> Column:
 def json_get(doc, ptr, on_missing: str = "null", **options) -> Column:
     """The text of what a JSON pointer finds. Of members with one name, the last counts. NULL where it finds nothing in a
     document, or with on_missing='error' an IndexError."""
-    if on_missing == "null":
+    if on_missing == "null" and isinstance(ptr, Column):
         return _at(doc, ptr, compact, STRING, **options)
     tokens = pointer.parse_pointer(ptr)
+    if on_missing == "null":
+
+        def get_literal(value):
+            return pointer.find(value, tokens)
+
+        return _text(doc, get_literal, **options)
 
     def get_or_fail(value):
         if (found := pointer.find(value, tokens)) is pointer.NOTHING:
@@ -216,7 +280,7 @@ def json_get_or_add(doc, name: str, value="null", **options) -> Column:
         if not isinstance(x, Members):
             return pointer.NOTHING
         if (at := x.find(name)) < 0:
-            x.append((name, item))
+            x = Members([*x, (name, item)])
         return {"value": compact(x[at][1]), "doc": compact(x)}
 
     return _on_value(doc, get_or_add, T.StructType([T.StructField("value", STRING), T.StructField("doc", STRING)]), **options)
@@ -373,7 +437,7 @@ def json_equals(a, b, **options) -> Column:
 
     def equals(x, other):
         y = _parsed(other, options)
-        return pointer.NOTHING if y is pointer.NOTHING else model.equal(x, y)
+        return y if y is pointer.NOTHING else model.equal(x, y)
 
     return _on_value(a, equals, BOOLEAN, b, **options)
 
@@ -445,22 +509,28 @@ def json_default(name: str) -> Column:
 def _changed(doc, new, function: Callable, options: dict) -> Column:
     """function(value, new value) as text; new is JSON text, or a column of it."""
     if isinstance(new, Column):
+        new, how, steps = _source(new, {})
 
         def change(value, text):
-            item = _parsed(text, {})
+            item = _stepped(_parsed(text, how), steps)
             out = pointer.NOTHING if item is pointer.NOTHING else function(value, item)
             return out if out is pointer.NOTHING else compact(out)
 
         change.__name__ = function.__name__
-        return _on_value(doc, change, STRING, new, **options)
+        return _on_source(_source(doc, options), change, STRING, new)
     item = parse(new)
 
     def change_literal(value):
-        out = function(value, item)
-        return out if out is pointer.NOTHING else compact(out)
+        return function(value, item)
 
     change_literal.__name__ = function.__name__
-    return _on_value(doc, change_literal, STRING, **options)
+    return _text(doc, change_literal, **options)
+
+
+def _with_member(x: Members, name: str, item, overwrite: bool) -> Members:
+    if (at := x.find(name)) < 0:
+        return Members([*x, (name, item)])
+    return Members([*x[:at], (name, item), *x[at + 1 :]]) if overwrite else x
 
 
 def json_add(doc, name: str, value, overwrite: bool = True, **options) -> Column:
@@ -469,26 +539,22 @@ def json_add(doc, name: str, value, overwrite: bool = True, **options) -> Column
     def added(x, item):
         if not isinstance(x, Members):
             return pointer.NOTHING
-        at = x.find(name)
-        if at < 0:
-            x.append((name, item))
-        elif overwrite:
-            x[at] = (name, item)
-        return x
+        return _with_member(x, name, item, overwrite)
 
     return _changed(doc, value, added, options)
 
 
 def _replaced(x, tokens: list[str], item):
-    """x with item for what tokens lead to, which must be there."""
-    if not tokens:
-        return item
-    parent, last = pointer.find(x, tokens[:-1]), tokens[-1]
-    if isinstance(parent, Members):
-        parent[parent.find(last)] = (last, item)
-    else:
-        parent[int(last)] = item
-    return x
+    """A copy of x, as far as it changes, with item for what tokens lead to, which must be there."""
+    path = [x]
+    for token in tokens[:-1]:
+        path.append(pointer.child(path[-1], token))
+    for parent, token in zip(reversed(path), reversed(tokens), strict=False):
+        if isinstance(parent, Members):
+            item = _with_member(parent, token, item, True)
+        else:
+            item = [*parent[: int(token)], item, *parent[int(token) + 1 :]]
+    return item
 
 
 def json_set(doc, ptr: str, value, **options) -> Column:
@@ -510,10 +576,10 @@ def json_set_type(doc, ptr: str, name: str, **options) -> Column:
     def set_type(x):
         found = pointer.find(x, tokens)
         if found is pointer.NOTHING or model.type_name(found) == name:
-            return found if found is pointer.NOTHING else compact(x)
-        return compact(_replaced(x, tokens, empty))
+            return found if found is pointer.NOTHING else x
+        return _replaced(x, tokens, empty)
 
-    return _on_value(doc, set_type, STRING, **options)
+    return _text(doc, set_type, **options)
 
 
 def json_append(doc, value, **options) -> Column:
@@ -529,18 +595,18 @@ def json_remove_key(doc, name: str, **options) -> Column:
     """An object without any member of that name."""
 
     def removed(x):
-        return compact(Members(m for m in x if m[0] != name)) if isinstance(x, Members) else pointer.NOTHING
+        return Members(m for m in x if m[0] != name) if isinstance(x, Members) else pointer.NOTHING
 
-    return _on_value(doc, removed, STRING, **options)
+    return _text(doc, removed, **options)
 
 
 def json_remove_index(doc, index: int, **options) -> Column:
     """An array without the item at index; one that has none there stays as it is."""
 
     def removed_at(x):
-        return compact([v for i, v in enumerate(x) if i != index]) if isinstance(x, list) and not isinstance(x, Members) else pointer.NOTHING
+        return [v for i, v in enumerate(x) if i != index] if isinstance(x, list) and not isinstance(x, Members) else pointer.NOTHING
 
-    return _on_value(doc, removed_at, STRING, **options)
+    return _text(doc, removed_at, **options)
 
 
 def json_concat(a, b, **options) -> Column:
@@ -583,13 +649,13 @@ def json_patch(doc, operations, rfc: bool = False, atomic: bool = False, ptr: st
         def patched(value, text):
             return pointer.NOTHING if text is None else outcome(value, _parsed(text, {}))
 
-        return _on_value(doc, patched, PATCHED, operations, **options)
+        return _on_source(_source(doc, options), patched, PATCHED, operations)
     steps = parse(operations)
 
     def patched_literal(value):
         return outcome(value, steps)
 
-    return _on_value(doc, patched_literal, PATCHED, **options)
+    return _on_source(_source(doc, options), patched_literal, PATCHED)
 
 
 def json_patch_case(case, run_disabled: bool = False, rfc: bool = False, **options) -> Column:
@@ -602,6 +668,15 @@ def json_patch_case(case, run_disabled: bool = False, rfc: bool = False, **optio
     return _on_value(case, status, STRING, **options)
 
 
+def json_patch_cases(suite, run_disabled: bool = False, rfc: bool = False, **options) -> Column:
+    """How each test case of an array comes out, as json_patch_case says of one."""
+
+    def statuses(value):
+        return [suites.patch_case(x, run_disabled, rfc) for x in value] if _is_array(value) else pointer.NOTHING
+
+    return _on_value(suite, statuses, STRINGS, **options)
+
+
 def json_schema_cases(group, run_disabled: bool = False, **options) -> Column:
     """How each test of a group (a document with schema and tests, each with data and valid) comes out, as an array."""
 
@@ -662,9 +737,7 @@ def add(name: str, value, overwrite: bool = True) -> Step:
     def added(x, item):
         if not isinstance(x, Members):
             return pointer.NOTHING
-        if (at := x.find(name)) < 0:
-            return Members([*x, (name, item)])
-        return Members([*x[:at], (name, item), *x[at + 1 :]]) if overwrite else x
+        return _with_member(x, name, item, overwrite)
 
     return _item_step(added, value)
 

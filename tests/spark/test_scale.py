@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 
 from docquarry import operators as ops
 from docquarry import queries
+from docquarry.functions import columns as c
+from docquarry.kernel.parser import parse
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def most_rows(df):
@@ -33,3 +39,44 @@ def test_files_are_written_by_many_tasks(spark, small, tmp_path, monkeypatch):
     n = spark.read.parquet(f"{small}/supplier.parquet").count()
     files = [f for f in os.listdir(tmp_path / "files") if f.startswith("part-")]
     assert len(rows) == len(files) == n and len({f.split("-")[1] for f in files}) > 1
+
+
+def column(df, expression):
+    return [r[0] for r in df.select(expression.alias("x")).collect()]
+
+
+def test_functions_around_one_another_read_once(spark):
+    """They say what they would say to the texts between them, numbers in their printed form among others."""
+    df = spark.createDataFrame([('{"a":{"x":1.50,"y":-0,"x":[1e3]},"b":[7]}',), ('{"a":[2.50,-0]}',), ("{",), (None,)], "doc string").coalesce(1)
+    inner = lambda: F.coalesce(c.json_get("doc", "/a"), F.lit(None).cast("string"))  # noqa: E731  # no text of ours
+    for outer in (
+        lambda x: c.json_get(x, "/x"), lambda x: c.json_get(x, "/0"), lambda x: c.json_set(x, "/x", "1"), lambda x: c.json_set(x, "/1", F.lit("[]")), lambda x: c.json_set_type(x, "/x", "array"), lambda x: c.json_remove_key(x, "x"),
+        lambda x: c.json_remove_index(x, 1), lambda x: c.json_append(x, F.lit("0.0")), lambda x: c.json_add(x, "x", "5"), lambda x: c.json_add(x, "x", F.lit("5"), overwrite=False), lambda x: c.json_patch(x, '{"op":"test","path":"/y","value":0}')["doc"],
+        lambda x: c.json_as_double(x, "/1").cast("string"), lambda x: c.json_print(x), lambda x: c.json_get(x, "/x", max_depth=1),
+    ):
+        assert column(df, outer(c.json_get("doc", "/a"))) == column(df, outer(inner()))
+    assert column(df, c.json_set("doc", "/a", c.json_get("doc", "/b"))) == ['{"a":[7],"b":[7]}', None, None, None]
+
+    around = df.select(c.json_set_type(c.json_set(c.json_get("doc", "/a"), "/x", "1"), "/y", "string"), c.json_set("doc", "/a", c.json_get("doc", "/b")))
+    assert plan(around).count("ArrowEvalPython") == 1
+
+
+def test_a_batch_is_read_once_for_all_functions_on_it(monkeypatch):
+    import pyarrow as pa
+
+    read = []
+    monkeypatch.setattr(c, "parse", lambda text, **options: read.append(text) or parse(text, **options))
+    texts = pa.array(['{"a":1}', None, "[", "null"])
+    for _ in range(3):
+        assert list(c._values(texts, {})) == [[("a", 1)], c.pointer.NOTHING, c.pointer.NOTHING, None]
+    assert len(read) == 3
+    assert list(c._values(texts, {"max_depth": 1})) == list(c._values(pa.array(texts.to_pylist()), {"max_depth": 1})) and len(read) == 9
+    monkeypatch.setattr(c, "SHARED_BYTES", 0)
+    assert not isinstance(c._values(pa.array(["1"]), {}), list)  # a batch of much text is read as it is used
+
+
+def test_changes_leave_the_value_they_are_given():
+    value = parse('{"a":[1,{"b":2}],"a":[1,{"b":2}]}')
+    assert c.compact(c._replaced(value, ["a", "1", "b"], None)) == '{"a":[1,{"b":2}],"a":[1,{"b":null}]}'
+    assert c._with_member(value, "a", None, True) != value and c._with_member(value, "z", None, True) != value
+    assert c.compact(value) == '{"a":[1,{"b":2}],"a":[1,{"b":2}]}'
