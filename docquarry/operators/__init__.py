@@ -14,7 +14,7 @@ def view(df: DataFrame, doc: str, pointer: str = "", type: str | None = None, ou
     """df with the printed value that pointer finds; with type, only where the value is of that type."""
     if type is None:
         return df.withColumn(out, c.json_print(doc, ptr=pointer, **style))
-    return df.withColumn(out, c.json_print(doc, ptr=pointer, of_type=type, **style)).where(F.col(out).isNotNull())
+    return df.withColumn(out, c.json_print(doc, ptr=pointer, of_type=type, once=True, **style)).where(F.col(out).isNotNull())
 
 
 def spread(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
@@ -73,8 +73,10 @@ def schema_errors(df: DataFrame, doc: str, schema, references=()) -> DataFrame:
 
 def patch_suite(df: DataFrame, suite: str, run_disabled: bool = False, rfc: bool = False) -> DataFrame:
     """A row for each test case of a suite (an array of them): the columns of df, with place (from 0), case and status."""
-    cases = df.select("*", F.posexplode(c.json_elements(suite)).alias("place", "case"))
-    return cases.withColumn("status", c.json_patch_case("case", run_disabled, rfc))
+    # side by side: one reading does for both, and cases that nobody asks for are not printed
+    both = df.withColumns({"_cases": c.json_elements(suite), "_statuses": c.json_patch_cases(suite, run_disabled, rfc, once=True)})
+    rows = both.select("*", F.posexplode("_statuses").alias("place", "_status")).select("*", F.get("_cases", "place").alias("case"))
+    return rows.withColumn("status", F.col("_status")).drop("_cases", "_statuses", "_status")
 
 
 def schema_suite(df: DataFrame, suite: str, run_disabled: bool = False) -> DataFrame:

@@ -80,3 +80,12 @@ def test_changes_leave_the_value_they_are_given():
     assert c.compact(c._replaced(value, ["a", "1", "b"], None)) == '{"a":[1,{"b":2}],"a":[1,{"b":null}]}'
     assert c._with_member(value, "a", None, True) != value and c._with_member(value, "z", None, True) != value
     assert c.compact(value) == '{"a":[1,{"b":2}],"a":[1,{"b":2}]}'
+
+
+def test_suites_print_and_judge_cases_from_one_reading(spark):
+    df = spark.createDataFrame([('[{"doc":1.0,"patch":[],"expected":1},{"comment":"x"}]', "old"), ("{}", "old"), (None, "old")], "suite string, status string")
+    out = ops.patch_suite(df, "suite")
+    assert out.columns == ["suite", "status", "place", "case"]
+    assert sorted((r["place"], r["case"], r["status"]) for r in out.collect()) == [(0, '{"doc":1,"patch":[],"expected":1}', "passed"), (1, '{"comment":"x"}', "disabled")]
+    assert plan(out).count("ArrowEvalPython") == 1 and "elements(" in plan(out)
+    assert plan(out.select("place", "status")).count("ArrowEvalPython") == 1 and "elements(" not in plan(out.select("place", "status"))
