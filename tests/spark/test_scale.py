@@ -8,6 +8,7 @@ from docquarry import operators as ops
 from docquarry import queries
 from docquarry.functions import columns as c
 from docquarry.kernel.parser import parse
+from docquarry.kernel.schema import JsonSchema, engine
 
 
 def plan(df):
@@ -89,3 +90,18 @@ def test_suites_print_and_judge_cases_from_one_reading(spark):
     assert sorted((r["place"], r["case"], r["status"]) for r in out.collect()) == [(0, '{"doc":1,"patch":[],"expected":1}', "passed"), (1, '{"comment":"x"}', "disabled")]
     assert plan(out).count("ArrowEvalPython") == 1 and "elements(" in plan(out)
     assert plan(out.select("place", "status")).count("ArrowEvalPython") == 1 and "elements(" not in plan(out.select("place", "status"))
+
+
+def test_verdicts_are_those_of_the_output():
+    """Without the output no unit is built, and the verdict is the same."""
+    docs = [parse(x) for x in ('{"n":1,"t":[1,2]}', '{"n":12,"t":[]}', '{"n":"x"}', "[1]", "null", '{"t":[{"t":[3]}]}')]
+    schemas = [s for s, _ in queries.SCHEMAS.values()] + ['{"properties":{"t":{"items":{"$ref":"#"}},"n":{"maximum":5}}}', '{"not":{"required":["n"]},"unevaluatedProperties":false}', "{}", "false"]
+    built = []
+    was, engine._Unit.__init__ = engine._Unit.__init__, lambda self, *place: built.append(place) or was(self, *place)
+    try:
+        schemas = [JsonSchema(s) for s in schemas]
+        verdicts = [[s.is_valid(d) for d in docs] for s in schemas]
+        assert not built
+        assert verdicts == [[not s.errors(d) for d in docs] for s in schemas] and built
+    finally:
+        engine._Unit.__init__ = was
