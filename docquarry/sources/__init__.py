@@ -28,7 +28,7 @@ def parsed_lines(lines: DataFrame, mode: str = "PERMISSIVE", **options) -> DataF
     """line, doc and error of each line (column value). DROPMALFORMED leaves malformed lines out; FAILFAST fails on the first."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    out = lines.select(F.col("value").alias("line"), c.json_read("value", **options).alias("_read")).select("line", "_read.doc", "_read.error")
+    out = lines.select(F.col("value").alias("line"), c.json_read("value", once=True, **options).alias("_read")).select("line", "_read.doc", "_read.error")
     if mode == "DROPMALFORMED":
         return out.where("error is null")
     if mode == "FAILFAST":
@@ -43,4 +43,4 @@ def read_document_lines(spark: SparkSession, path: str, mode: str = "PERMISSIVE"
 
 def write_documents(df: DataFrame, doc: str, path: str, **style) -> None:
     """A text file of documents, one on each line unless the style is pretty."""
-    df.select(c.json_print(doc, **({"pretty": False} | style)).alias("value")).where("value is not null").write.text(path)
+    df.select(c.json_print(doc, **({"pretty": False, "once": True} | style)).alias("value")).where("value is not null").write.text(path)

@@ -19,6 +19,6 @@ def stream_document_lines(spark: SparkSession, path: str, mode: str = "PERMISSIV
 
 def write_stream(df: DataFrame, doc: str, path: str, checkpoint: str, available_now: bool = True, **style) -> StreamingQuery:
     """Prints documents to text files, exactly once for each line of the source."""
-    out = df.select(c.json_print(doc, **({"pretty": False} | style)).alias("value")).where("value is not null")
+    out = df.select(c.json_print(doc, **({"pretty": False, "once": True} | style)).alias("value")).where("value is not null")
     writer = out.writeStream.format("text").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)

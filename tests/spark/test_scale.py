@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from docquarry import operators as ops
-from docquarry import queries
+from docquarry import queries, sources
 from docquarry.functions import columns as c
 from docquarry.kernel.parser import parse
 from docquarry.kernel.schema import JsonSchema, engine
@@ -105,3 +105,11 @@ def test_verdicts_are_those_of_the_output():
         assert verdicts == [[not s.errors(d) for d in docs] for s in schemas] and built
     finally:
         engine._Unit.__init__ = was
+
+
+def test_lines_are_read_once_though_filters_follow(spark):
+    lines = sources.parsed_lines(spark.createDataFrame([('{"a": 1}',), ("{",), (None,)], "value string").coalesce(1))
+    out = lines.where("error is null").select(c.json_print("doc", pretty=False, once=True).alias("value")).where("value is not null")
+    assert [r[0] for r in out.collect()] == ['{"a":1}']
+    assert plan(out).count("ArrowEvalPython") == 2
+    assert plan(ops.view(lines, "doc", "/a", "number").select("view")).count("ArrowEvalPython") == 2
