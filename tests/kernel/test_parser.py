@@ -1,5 +1,9 @@
+import random
+import time
+
 import pytest
 
+from docquarry.kernel import parser
 from docquarry.kernel.lexer import tokens
 from docquarry.kernel.model import canonical
 from docquarry.kernel.parser import ParseError, is_valid, parse
@@ -100,3 +104,37 @@ def test_long_lines_take_time_in_proportion(end):
 
     seconds(100)
     assert min(seconds(20_000) for _ in range(2)) < 60 * max(min(seconds(1000) for _ in range(3)), 1e-3)
+
+
+def outcome(read):
+    try:
+        return to_text(read())
+    except ParseError as e:
+        return (e.code, e.row, e.col)
+
+
+def test_relaxed_text_is_made_strict_as_the_token_loop_reads_it(monkeypatch):
+    """Any mixture of parts has the value, or the error, of the token loop."""
+    parts = ["{", "}", "[", "]", ",", ":", '"a"', '"b" "c"', '"/*"', '"//"', '"', "'", "\\", "a", "_b1", "é", "null", "true", "NaN", "Infinity", "-", "1", "0", ".5", "1e5", "1E", "e5", " ", "\n", "/", "/* , */", "/* \" */", "// x\n", "//", "/*", "*/", r'"\ud83d"', r'"\ude00"', r'"\u00e9\n"', r'"\q"', '"\ud800"', "#", "\x00", "\xa0", "\ufeff"]
+    documents = ["{a:1,'b':[1,],}", '{"a" /*"x"*/ "b":{c:[ "d"//y\n"e" , ],},}', "[[,],{,},[1,,]]", "{a /*:*/ :/*,*/ -1.50e1 ,}// end", "[a:1]", '["\\ud83d" "\\ude00"]']
+    rng, texts = random.Random(11), list(documents)
+    for _ in range(20_000):
+        texts.append("".join(rng.choices(parts, k=rng.randint(1, 8))))
+        doc = rng.choice(documents)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(doc) + 1)
+            doc = doc[:at] + rng.choice(parts) + doc[at + rng.randint(0, 2) :]
+        texts.append(doc)
+    for text in texts:
+        for duplicates in (True, False):
+            assert outcome(lambda: parse(text, strict=False, allow_duplicates=duplicates)) == outcome(lambda: parser._Parser(text, False, duplicates, 0, 0, 0).document()), text
+    monkeypatch.setattr(parser, "_Parser", None)  # these do without the token loop
+    for text in ('/* c */ { id : 5, "text": "a" "b", list: [1, 7,], } // end', documents[1], documents[3], '{"u":"\\u00e9" "é"}'):
+        parse(text, strict=False)
+
+
+def test_relaxed_text_takes_time_by_its_length():
+    for text in (",/*" * 40_000, "[" + "a" * 100_000, '"a" ' * 40_000, "a /**/" * 40_000 + ":", "[,/**/" * 20_000, "/*" * 60_000, "[" + "1,/* c */" * 30_000 + "]", "{" + "a /* c */ : 1 ,\n" * 20_000 + "}"):
+        began = time.perf_counter()
+        is_valid(text, strict=False)
+        assert time.perf_counter() - began < 5
