@@ -155,3 +155,24 @@ def test_patch_options():
     steps = parse('[{"op":"add","path":"/b","value":1},{"op":"remove","path":"/c"}]')
     assert to_text(patch(parse('{"a":1}'), steps, atomic=True)[2]) == '{"a":1}'
     assert patch(parse("[1]"), parse('[{"op":"remove","path":"/-"}]'), rfc=True)[1] == ["patch_noent"]
+
+
+def some_value(rng, depth=3):
+    kind = rng.randrange(6 if depth else 4)
+    if kind < 4:
+        return (None, rng.random() < 0.5, Decimal(rng.choice(("1", "1.0", "-0", "0", "2e1", "20"))), rng.choice(("", "a", '"\\/', "\x00\x1f\x7f\n\b", "é😀")))[kind]
+    items = [some_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return items if kind == 4 else model.Members((rng.choice("abc"), x) for x in items)
+
+
+def test_equality_sorts_only_members_of_repeated_names(monkeypatch):
+    rng = random.Random(5)
+    pairs = [(some_value(rng), some_value(rng)) for _ in range(3000)] + [(parse('{"a":1,"b":[{"c":2,"d":3}]}'), parse('{"b":[{"d":3.0,"c":2}],"a":1.0}'))]
+    pairs += [(a, model.Members(reversed(a)) if isinstance(a, model.Members) else a) for a, _ in pairs]
+    assert {True, False} == {model.equal(a, b) for a, b in pairs}
+    for a, b in pairs:
+        assert model.equal(a, b) is (model.canonical(a) == model.canonical(b))
+    deep = lambda end: parse("[" * 3000 + end + "]" * 3000)
+    assert model.equal(deep('{"a":1,"b":2}'), deep('{"b":2,"a":1}')) and not model.equal(deep("1"), deep("2"))
+    monkeypatch.setattr(model, "by_name", None)
+    assert model.equal(parse('{"a":1,"b":[{"c":2,"d":3}]}'), parse('{"b":[{"d":3.0,"c":2}],"a":1.0}'))
