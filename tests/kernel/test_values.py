@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from docquarry.kernel import model, pointer
+from docquarry.kernel import model, pointer, printer
 from docquarry.kernel.model import Members
 from docquarry.kernel.parser import parse
 from docquarry.kernel.patch import patch
@@ -176,3 +176,12 @@ def test_equality_sorts_only_members_of_repeated_names(monkeypatch):
     assert model.equal(deep('{"a":1,"b":2}'), deep('{"b":2,"a":1}')) and not model.equal(deep("1"), deep("2"))
     monkeypatch.setattr(model, "by_name", None)
     assert model.equal(parse('{"a":1,"b":[{"c":2,"d":3}]}'), parse('{"b":[{"d":3.0,"c":2}],"a":1.0}'))
+
+
+def test_compact_text_is_quoted_as_other_styles_do(monkeypatch):
+    rng = random.Random(6)
+    values = [some_value(rng) for _ in range(2000)] + ["".join(map(chr, range(0x100))), "\ud800", parse("[" * 3000 + '"\\u0001"' + "]" * 3000)]
+    for x in values:
+        assert printer.to_text(x) == printer._printed(x, printer._COMPACT)
+    monkeypatch.setattr(printer, "escape", None)  # no pattern of ours
+    assert printer.to_text(parse('{"a\\n":["\\u0001","/"]}')) == '{"a\\n":["\\u0001","/"]}'
