@@ -1,3 +1,4 @@
+import functools
 import random
 from decimal import Decimal
 
@@ -185,3 +186,20 @@ def test_compact_text_is_quoted_as_other_styles_do(monkeypatch):
         assert printer.to_text(x) == printer._printed(x, printer._COMPACT)
     monkeypatch.setattr(printer, "escape", None)  # no pattern of ours
     assert printer.to_text(parse('{"a\\n":["\\u0001","/"]}')) == '{"a\\n":["\\u0001","/"]}'
+
+
+def test_patches_read_a_pointer_once_and_leave_the_document(monkeypatch):
+    from docquarry.kernel import patch
+
+    steps = parse('[{"op":"add","path":"/once/-","value":[1]},{"op":"copy","from":"/once","path":"/z"}]')
+    docs = [parse('{"once":[[2]]}') for _ in range(3)]
+    read = []
+    monkeypatch.setattr(patch, "_tokens", functools.lru_cache(lambda text: read.append(text) or patch.parse_pointer(text)))
+    for doc in docs:
+        ok, _, after = patch.patch(doc, steps)
+        assert ok and printer.to_text(after) == '{"once":[[2],[1]],"z":[[2],[1]]}' and printer.to_text(doc) == '{"once":[[2]]}'
+        after[0][1][1].append(None)
+        assert printer.to_text(after[1][1]) == "[[2],[1]]" and printer.to_text(steps[0][2][1]) == "[1]"
+    assert read == ["/once/-", "/z", "/once"]
+    deep = parse("[" * 3000 + '{"a":[]}' + "]" * 3000)
+    assert printer.to_text(model.copied(deep)) == printer.to_text(deep) and model.copied(deep)[0] is not deep[0]
