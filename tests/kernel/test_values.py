@@ -203,3 +203,12 @@ def test_patches_read_a_pointer_once_and_leave_the_document(monkeypatch):
     assert read == ["/once/-", "/z", "/once"]
     deep = parse("[" * 3000 + '{"a":[]}' + "]" * 3000)
     assert printer.to_text(model.copied(deep)) == printer.to_text(deep) and model.copied(deep)[0] is not deep[0]
+
+
+def test_whole_numbers_are_read_without_a_function_of_ours():
+    from docquarry.kernel import parser
+
+    assert all(d.parse_int is Decimal for d in parser._DECODERS.values())
+    for text in ("0", "-0", "7", "-12", "9" * 15, "9" * 16, "1" + "0" * 5000):
+        loop = parser._Parser(text, True, True, 0, 0, 0).document()
+        assert str(parse(text)) == str(loop) and type(parse(text)) is Decimal
