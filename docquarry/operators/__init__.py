@@ -24,8 +24,34 @@ def spread(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     counts = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"))
     parts, total, most = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if parts >= cores and most <= rows:
+        return df
     # whole rounds of all cores, so that none waits for a last round
-    return df.repartition(cores * max(1, -(-total // (rows * cores)))) if parts < cores or most > rows else df
+    return _dealt(df, cores * max(1, -(-total // (rows * cores))))
+
+
+#: To at most so many parts Spark writes a shuffle row by row, a file for each part; for more it gathers a split in memory first.
+DIRECT_PARTS = 200
+
+
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """df in so many parts of equal counts, in memory that does not grow with a split. Rows go to parts by their numbers: without
+    these Spark sorts each split before it deals it out. More than DIRECT_PARTS are dealt out in two steps, each task of the second
+    one with a share of all rows only."""
+    if not _repeatable(df):
+        return df.repartition(parts)
+    number, part = (name + "_" * max(map(len, df.columns), default=0) for name in ("_number", "_part"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in the split, from 0
+    df = df.withColumn(number, place + F.spark_partition_id())  # small splits don't all begin with the same part
+    for n in [DIRECT_PARTS, parts] if parts > DIRECT_PARTS else [parts]:
+        df = df.withColumn(part, (F.col(number) % n).cast("int")).repartitionById(n, part)
+    return df.drop(number, part)
+
+
+def _repeatable(df: DataFrame) -> bool:
+    """Whether a task that is run again gets its rows in the same order, as from files: only then may numbers decide."""
+    run = df._jdf.queryExecution()
+    return run.executedPlan().nodeName() != "AdaptiveSparkPlan" and run.toRdd().outputDeterministicLevel().toString() == "DETERMINATE"
 
 
 def verify(df: DataFrame, doc: str, schema=None, references=(), out: str = "verdict", **options) -> DataFrame:

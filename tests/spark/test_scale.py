@@ -34,6 +34,28 @@ def test_spread_deals_out_splits_of_one_row_group(spark, tmp_path):
     assert ops.spread(spark.range(0)).count() == 0
 
 
+def test_spread_holds_no_split_in_memory(spark, tmp_path):
+    """Rows are dealt out by number, without a sort of the split; more parts than Spark writes row by row come in two steps."""
+    path = str(tmp_path / "t.parquet")
+    texts = spark.range(20_000).select(F.col("id").alias("_number"), (F.col("id") % 7).cast("string").alias("_PART"))
+    texts.coalesce(1).write.parquet(path)
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    few, many = ops.spread(df, 2_000), ops.spread(df, 20)
+    for dealt, steps in ((few, 1), (many, 2)):
+        assert "RoundRobin" not in plan(dealt) and plan(dealt).count("Exchange") == steps and dealt.columns == df.columns
+        n = dealt.rdd.getNumPartitions()
+        assert most_rows(dealt) == -(-20_000 // n) and (n > ops.DIRECT_PARTS) == (steps == 2)
+        assert dealt.exceptAll(df).count() == 0 and dealt.count() == 20_000
+    assert most_rows(ops.spread(spark.range(0, cores - 1, 1, max(1, cores - 1)))) <= 1  # a row for each core
+
+
+def test_spread_leaves_rows_without_fixed_order_to_spark(spark):
+    """The numbers of rows that come out of a shuffle could change when a task is run again."""
+    for df in (spark.range(20_000).repartition(1), spark.range(20_000).groupBy("id").count().coalesce(1)):
+        dealt = ops.spread(df, 500)
+        assert "RoundRobin" in plan(dealt) and most_rows(dealt) <= 1000 and dealt.select("id").distinct().count() == 20_000
+
+
 def test_files_are_written_by_many_tasks(spark, small, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "_files", lambda spark: f"file://{tmp_path}/files")
     rows = queries.QUERIES["files_round_trip"](spark, small).collect()
